@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, mixing, neardup, sharding
+from . import decontaminate, language, mixing, neardup, neighbours, perplexity, sharding, substrings, urls, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_near_duplicates": neardup.op2_near_duplicates,
+    "op3_warc": warc.op3_warc,
     "op4_decontamination": decontaminate.op4_decontamination,
+    "op5_substrings": substrings.op5_substrings,
     "op6_mixing": mixing.op6_mixing,
+    "op7_url_filters": urls.op7_url_filters,
     "op8_language": language.op8_language,
+    "op9_perplexity": perplexity.op9_perplexity,
+    "op10_neighbours": neighbours.op10_neighbours,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_warc": warc.SQL, "op5_substrings": substrings.SQL, "op7_url_filters": urls.SQL}

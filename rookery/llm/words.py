@@ -109,10 +109,15 @@ def words(column: pa.Array) -> Words:
     ends = inside
     ends[:-1] &= ~inside[1:] | edge[1:-1]
     begin, end = np.flatnonzero(begins), np.flatnonzero(ends)
+    return Words(spans(raw, begin, end + 1), np.searchsorted(begin, off).astype(np.int64))
+
+
+def spans(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each stretch of bytes, the same wherever it stands."""
     up, down = _powers(len(raw))
     total = np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], dtype=np.uint64)
-    h = total[end] - np.where(begin > 0, total[begin - 1], np.uint64(0))
-    return Words(mix(h * down[begin]), np.searchsorted(begin, off).astype(np.int64))
+    h = total[end - 1] - np.where(begin > 0, total[begin - 1], np.uint64(0))
+    return mix(h * down[begin])
 
 
 def shingles(w: Words, k: int, seed: int = 1) -> Words:
