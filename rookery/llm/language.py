@@ -20,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .frames import col, fresh, table, text_of
+from .frames import checkpointed, col, fresh, table, text_of
 from .words import as_strings, slices
 
 TOP = 300
-MAX_N = 3
+#: The sample's keys are broadcast if they are no more than this.
+BROADCAST_ROWS = 200_000
 #: The bound on labelled rows that a language's profile is fitted on.
 ROWS_PER_LABEL = 400
 #: A text is rejected if another language is nearer than its label's by this share of TOP.
@@ -115,7 +116,9 @@ def fit_profiles(docs: DataFrame, text_col: str = "text", label_col: str = "lang
     ).where(F.col("label").isNotNull() & F.col("text").isNotNull())
     first = Window.partitionBy("label").orderBy("h", "x")
     drawn = x.select("label", "h", F.xxhash64("text").alias("x")).withColumn("n", F.row_number().over(first)).where(F.col("n") <= rows)
-    times = drawn.groupBy("label", "h", "x").agg(F.count(F.lit(1)).alias("times"))
+    times = checkpointed(drawn.groupBy("label", "h", "x").agg(F.count(F.lit(1)).alias("times")))
+    # at most ``rows`` a label; with so many labels that this isn't small, the join shuffles
+    times = F.broadcast(times) if times.count() <= BROADCAST_ROWS else times
     # repeated rows meet all their repetitions in the join, so it is enough to keep one of each
     texts = x.withColumn("x", F.xxhash64("text")).join(times, ["label", "h", "x"]).groupBy("label", "h", "x").agg(F.first("text").alias("text"), F.first("times").alias("times"))
     by: dict[str, list[tuple]] = {}
