@@ -5,7 +5,7 @@ the cover D = {1, 5, 11, 24, 25, 27}. Every residue is a difference of two membe
 for any two places i and j there is a shift below v that takes both into the cover: if
 two documents share ``length = w + v - 1`` words, they share an anchor, whatever the places.
 Anchors that two documents have are extended to every window of ``length`` words around them, compared
-by 128-bit hashes; those that two documents have cover the repeated passages. Work is linear
+by 96-bit hashes; those that two documents have cover the repeated passages. Work is linear
 in the anchors and windows: no pairs are formed, so a passage may repeat any number of times.
 """
 
@@ -125,10 +125,11 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
                 d = np.searchsorted(x.first, at, "right") - 1
                 place = at - x.first[d]
                 a, b = (windows(x, length, s)[at].view(np.int64) if len(at) else np.zeros(0, np.int64) for s in (31, 32))
+                b = (b >> np.int64(32)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), batch.column("uid").take(pa.array(start + d)), pa.array(_tagged(hashes[start + d], place))], names=["a", "b", "uid", "tag"])
 
     # repeated rows repeat their windows; that changes nothing
-    found = _shared(left.mapInArrow(extend, f"a long, b long, uid {kind}, tag long"), ["a", "b"])
+    found = _shared(left.mapInArrow(extend, f"a long, b int, uid {kind}, tag long"), ["a", "b"])
     spots = found.select("uid", F.shiftright("tag", 32).alias("uhash"), F.col("tag").bitwiseAND(int(_LOW32)).cast("int").alias("place"))
     lists = spots.groupBy("uid", "uhash").agg(F.collect_list("place").alias("places"))
 
