@@ -30,7 +30,7 @@ BLOCK = 5000
 _EPS = 1e-9
 
 
-def _step(p: list[float], t: list[float], active: list[int], u: tuple[float, ...], draw: float) -> None:
+def _step(p: list[float], active: list[int], u: tuple[float, ...], draw: float) -> None:
     """Moves the active probabilities along ``u`` or against it until one is 0 or 1; the expectation stays."""
     up = down = float("inf")
     for i, x in zip(active, u):
@@ -47,9 +47,11 @@ def _step(p: list[float], t: list[float], active: list[int], u: tuple[float, ...
 def flight(p: list[float], t: list[float], draws: list[float]) -> list[float]:
     """Probabilities after the flight; of those strictly between 0 and 1, two at most, of different sizes.
 
-    The sum of p and the sum of p * t stay what they were.
+    The sum of p and the sum of p * t stay what they were. Each step takes the next draw; there are no more
+    steps than coordinates, since each makes one whole.
     """
     p = list(p)
+    draw = iter(draws)
     active: list[int] = []
     waiting = [i for i in range(len(p)) if 0 < p[i] < 1]
     waiting.reverse()
@@ -67,16 +69,17 @@ def flight(p: list[float], t: list[float], draws: list[float]) -> list[float]:
         else:
             return p
         scale = max(map(abs, u))
-        _step(p, t, active, tuple(x / scale for x in u), draws[active[0]])
+        _step(p, active, tuple(x / scale for x in u), next(draw))
 
 
 def landing(p: list[float], draws: list[float]) -> list[float]:
     """All probabilities 0 or 1: pairs trade until one is whole, then the last is drawn by itself."""
     p = list(p)
+    draw = iter(draws)
     while len(active := [i for i in range(len(p)) if 0 < p[i] < 1]) > 1:
-        _step(p, p, active[:2], (1.0, -1.0), draws[active[0]])
+        _step(p, active[:2], (1.0, -1.0), next(draw))
     for i in active:
-        p[i] = 1.0 if draws[i] < p[i] else 0.0
+        p[i] = 1.0 if next(draw) < p[i] else 0.0
     return p
 
 
@@ -121,7 +124,7 @@ def sampled(docs: DataFrame, weights: Mapping | None = None, power: float = POWE
             frame = frame.sort_values(["h", "words"], kind="stable")
             draws = _draws(frame["h"], level)
             p = flight(frame["p"].tolist(), frame["words"].astype(float).tolist(), draws)
-            return frame.assign(p=landing(p, draws) if land else p)[keep]
+            return frame.assign(p=landing(p, _draws(frame["h"], level + 1)) if land else p)[keep]
 
         sizes = spark.createDataFrame([(s, max(1, -(-n // block))) for s, (n, _) in totals.items()], "b_source string, blocks int")
         blocked = state.join(F.broadcast(sizes) if len(totals) < 100_000 else sizes, state.source.eqNullSafe(sizes.b_source))
