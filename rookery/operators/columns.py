@@ -13,7 +13,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
@@ -432,6 +432,17 @@ for _name in (*_BLOB_FUNCTIONS, *_PATTERN_FUNCTIONS):
 FUNCTION_NAMES = [*_BLOB_FUNCTIONS, *_PATTERN_FUNCTIONS]
 
 
+def with_plies(games: DataFrame, movedata: str = "movedata", name: str = "plies", initial_fen: Column | str | None = None, where: Column | None = None) -> DataFrame:
+    """``games`` with all plies of each game, decoded once whatever is then done with them.
+
+    Filters on the plies aren't moved below the decoding, where they would decode a second time; nor are
+    those on other columns, so these belong in ``where``, which is applied before and reaches the scan.
+    """
+    kept = games if where is None else games.where(where)
+    run = _udf("plies", False).asNondeterministic()
+    return kept.withColumn(name, run(_col(movedata).cast("binary"), _fen(initial_fen)))
+
+
 @F.arrow_udf(returnType=BinaryType())
 def _encode(moves: pa.Array) -> pa.Array:
     return pa.array([codec.moves_to_low(m) for m in moves.to_pylist()], pa.binary())

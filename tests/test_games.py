@@ -176,6 +176,15 @@ def test_filters_and_plies_share_one_decode(games):
     assert sorted(tuple(r) for r in got.collect()) == [(1, 6, "e1", 8), (2, 6, "e1", 8)]
 
 
+def test_with_plies_decodes_once(spark, tmp_path):
+    spark.createDataFrame([(1, LOW), (2, MEDIUM)], "id int, m binary").write.parquet(str(tmp_path / "g"))
+    df = C.with_plies(spark.read.parquet(str(tmp_path / "g")), "m", where=F.col("id") < 2)
+    out = df.where(F.exists("plies", lambda p: p["is_castle"])).select("id", F.size("plies").alias("n"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "LessThan(id,2)" in plan
+    assert [tuple(r) for r in out.collect()] == [(1, 20)]
+
+
 def test_sql(spark, games):
     C.register(spark)
     games.createOrReplaceTempView("games")
