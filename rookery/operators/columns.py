@@ -338,11 +338,18 @@ _BLOB_FUNCTIONS: dict[str, tuple[str, int, Callable]] = {
 _PATTERN_FUNCTIONS: dict[str, str] = {"matches_subfen": "boolean", "matches_fen": "boolean", "matches_fen_ply": "int", "scoutfish_query": "boolean", "scoutfish_query_plies": "array<int>"}
 
 
-def _finish(name: str, tried: bool, got: tuple[pa.Array, np.ndarray]) -> pa.Array:
-    array, error = got
-    if not tried and (error > 0).any():
-        _fail(name, error)
-    return array
+#: Games decoded at a time, which bounds a worker's memory whatever the batch.
+GAMES_AT_A_TIME = 2000
+
+
+def _run(name: str, tried: bool, run: Callable, *arguments: pa.Array) -> pa.Array:
+    out = []
+    for k in range(0, max(1, len(arguments[0])), GAMES_AT_A_TIME):
+        array, error = run(*[a.slice(k, GAMES_AT_A_TIME) for a in arguments])
+        if not tried and (error > 0).any():
+            _fail(name, error)
+        out.append(array)
+    return out[0] if len(out) == 1 else pa.concat_arrays(out)
 
 
 def _udf(name: str, tried: bool):
@@ -350,12 +357,12 @@ def _udf(name: str, tried: bool):
     if extra:
 
         def two(blobs: pa.Array, argument: pa.Array, fens_: pa.Array) -> pa.Array:
-            return _finish(name, tried, run(blobs, argument, fens_))
+            return _run(name, tried, run, blobs, argument, fens_)
 
         return F.arrow_udf(two, returnType=kind)
 
     def one(blobs: pa.Array, fens_: pa.Array) -> pa.Array:
-        return _finish(name, tried, run(blobs, fens_))
+        return _run(name, tried, run, blobs, fens_)
 
     return F.arrow_udf(one, returnType=kind)
 
@@ -400,7 +407,7 @@ def call(name: str, movedata: Column | str, argument=None, initial_fen: Column |
         run = _pattern_run(name, argument)
 
         def match(blobs: pa.Array, fens_: pa.Array) -> pa.Array:
-            return _finish(name, tried, run(blobs, fens_))
+            return _run(name, tried, run, blobs, fens_)
 
         return F.arrow_udf(match, returnType=kind)(blob, _fen(initial_fen))
     extra = _BLOB_FUNCTIONS[name][1]
@@ -486,7 +493,7 @@ def _sql_udf(name: str, tried: bool):
                 raise ValueError(f"{name} - the pattern must be constant")
             if not distinct or distinct[0] is None:
                 return pa.nulls(len(blobs), {"boolean": pa.bool_(), "int": pa.int32(), "array<int>": pa.list_(pa.int32())}[kind])
-            return _finish(name, tried, _pattern_run(name, distinct[0])(blobs, fens_))
+            return _run(name, tried, _pattern_run(name, distinct[0]), blobs, fens_)
 
         return F.arrow_udf(match, returnType=kind)
     kind, extra, run = _BLOB_FUNCTIONS[name]
@@ -494,6 +501,6 @@ def _sql_udf(name: str, tried: bool):
     def apply(*arguments: pa.Array) -> pa.Array:
         blobs = arguments[0]
         fens_ = arguments[1 + extra] if len(arguments) > 1 + extra else pa.nulls(len(blobs), pa.string())
-        return _finish(name, tried, run(blobs, arguments[1], fens_) if extra else run(blobs, fens_))
+        return _run(name, tried, run, blobs, arguments[1], fens_) if extra else _run(name, tried, run, blobs, fens_)
 
     return F.arrow_udf(apply, returnType=kind)
