@@ -213,6 +213,20 @@ def test_neighbours_recall_and_odd_rows(spark):
     assert NN.nearest(df.limit(0)).count() == 0 and NN.nearest(df.where("vec_id < 2"), k=5).count() == 2 and NN.nearest(df.where("vec_id = 3")).count() == 0
 
 
+def test_recall_with_finer_cells(spark, monkeypatch):
+    monkeypatch.setattr(NN, "CELL_ROWS", 40)
+    r = np.random.default_rng(2)
+    x = r.standard_normal((3000, 16)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    near = {}
+    for g in NN.nearest(df).collect():
+        near.setdefault(g.vec_id, set()).add(g.neighbour)
+    assert np.mean([len(near[i] & set(np.argsort(-s[i])[:10].tolist())) / 10 for i in range(3000)]) >= 0.9
+
+
 def test_rotations_keep_lengths_and_finer_cells_agree():
     x = np.random.default_rng(1).standard_normal((50, 48)).astype(np.float32)
     assert np.allclose(np.linalg.norm(NN.rotate(x, 3), axis=1), np.linalg.norm(x, axis=1), rtol=1e-4)
@@ -220,7 +234,7 @@ def test_rotations_keep_lengths_and_finer_cells_agree():
     assert np.allclose(h @ h.T, np.eye(8), atol=1e-6)
     for functions in (1, 2):
         p = NN.probes(x, 0, functions, 6)
-        assert p.shape == (50, 6) and all(len(set(row)) == 6 for row in p.tolist()) and (p[:, 0] == NN.probes(x, 0, functions, 1)[:, 0]).all()
+        assert p.shape == (50, 6**functions) and all(len(set(row)) == 6**functions for row in p.tolist()) and (p[:, 0] == NN.probes(x, 0, functions, 1)[:, 0]).all()
     for f in range(2):
         y = NN.rotate(x, f)
         assert (NN.probes(x, 0, 2, 1)[:, 0] // (128 if f == 0 else 1) % 128 == np.argmax(np.concatenate([y, -y], axis=1), axis=1)).all()
