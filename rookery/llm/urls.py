@@ -52,9 +52,13 @@ def compile_rule(rule: str) -> tuple[str, list[str], bool]:
     return "".join(parts), sorted(set(tokens)), allow
 
 
+def _distinct(rules: Sequence[str]) -> list[str]:
+    return list(dict.fromkeys(r for r in rules if r and r.strip("*|@")))
+
+
 def _rules(spark: SparkSession, rules: Sequence[str]) -> DataFrame:
     rows = []
-    for rule in dict.fromkeys(r for r in rules if r and r.strip("*|@")):
+    for rule in _distinct(rules):
         regex, tokens, allow = compile_rule(rule)
         rows.append((rule, regex, allow, tokens))
     return spark.createDataFrame(rows, "rule string, regex string, allow boolean, tokens array<string>")
@@ -75,9 +79,12 @@ def matches(urls: DataFrame, rules: Sequence[str] = RULES) -> DataFrame:
     rarest = wanted.join(seen, "token", "left").groupBy("rule").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))["token"].alias("token"))
     filed = known.join(rarest, "rule").select("rule", "regex", "allow", "token")
     fetched = tokens.join(filed, "token").select("url", "low", "rule", "regex", "allow")
-    unfiled = known.where(F.size("tokens") == 0).select("rule", "regex", "allow")
-    everywhere = lower.crossJoin(unfiled).select("url", "low", "rule", "regex", "allow")
-    return fetched.unionAll(everywhere).where(F.regexp_like("low", F.col("regex"))).select("url", "rule", "allow")
+    # rules without a token come with every URL, in the row itself
+    unfiled = [(r, regex, allow) for r, (regex, tokens_, allow) in ((r, compile_rule(r)) for r in _distinct(rules)) if not tokens_]
+    if unfiled:
+        listed = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(x).alias("regex"), F.lit(a).alias("allow")) for r, x, a in unfiled])
+        fetched = fetched.unionAll(lower.select("url", "low", F.inline(listed)))
+    return fetched.where(F.regexp_like("low", F.col("regex"))).select("url", "rule", "allow")
 
 
 def filtered(pages: DataFrame, rules: Sequence[str] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
