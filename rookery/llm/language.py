@@ -207,3 +207,27 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
+
+
+SQL = rf"""
+WITH t AS (
+  SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(coalesce(doc_id::VARCHAR, ''))) <= {ROWS_PER_LABEL} AND lang IS NOT NULL AND text IS NOT NULL AS drawn,
+    ' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}]+', ' ', 'g')) || ' ' AS x FROM documents
+),
+chars AS MATERIALIZED (
+  SELECT doc_id, lang, drawn, unnest(c) AS a, unnest(c[2:] || ['']) AS b, unnest(c[3:] || ['', '']) AS e FROM (SELECT *, string_split(x, '') AS c FROM t WHERE len(x) > 2)
+),
+gram AS (
+  SELECT doc_id, lang, drawn, a AS g FROM chars UNION ALL SELECT doc_id, lang, drawn, a || b FROM chars WHERE b <> '' UNION ALL SELECT doc_id, lang, drawn, a || b || e FROM chars WHERE e <> '' AND b <> ' '
+),
+good AS MATERIALIZED (SELECT * FROM gram WHERE g <> ' '),
+mine AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, g) AS r FROM good GROUP BY doc_id, g QUALIFY r <= {TOP}),
+profile AS (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, g) AS r FROM good WHERE drawn GROUP BY lang, g QUALIFY r <= {TOP}),
+dist AS (
+  SELECT m.doc_id, l.lang AS name, sum(coalesce(abs(p.r - m.r), {TOP}))::DOUBLE / count(*) AS d
+  FROM mine m CROSS JOIN (SELECT DISTINCT lang FROM profile) l LEFT JOIN profile p ON p.lang = l.lang AND p.g = m.g GROUP BY m.doc_id, l.lang
+),
+best AS (SELECT doc_id, arg_min(name, (d, name)) AS predicted, min(d) AS distance FROM dist GROUP BY doc_id)
+SELECT t.doc_id, t.lang, b.predicted, b.distance, o.d AS label_distance, b.predicted IS NOT NULL AND coalesce(o.d - b.distance <= {MARGIN * TOP}, true) AS kept
+FROM t LEFT JOIN best b ON b.doc_id = t.doc_id LEFT JOIN dist o ON o.doc_id = t.doc_id AND o.name = t.lang
+"""

@@ -186,3 +186,27 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     slim = docs.select("doc_id", F.coalesce(F.octet_length(text_of(docs, "text")), F.lit(0)).cast("long").alias("bytes"))
     sharded, name = with_shard(slim, "doc_id", F.col("bytes"))
     return sharded.select("doc_id", "bytes", F.col(name).alias("shard"))
+
+
+SQL = f"""
+WITH RECURSIVE g AS MATERIALIZED (SELECT doc_id, sum(strlen(coalesce(text, '')))::BIGINT AS s FROM documents GROUP BY doc_id),
+l AS MATERIALIZED (SELECT list({{'n': 0::BIGINT, 'load': 0::BIGINT, 's': s}} ORDER BY doc_id NULLS FIRST) AS sizes, max(s) AS most, sum(s)::BIGINT AS total FROM g),
+bs AS (
+  SELECT 0::BIGINT AS low, total AS high FROM l
+  UNION ALL
+  SELECT CASE WHEN ok THEN low ELSE mid + 1 END, CASE WHEN ok THEN mid ELSE high END FROM (
+    SELECT low, high, mid, mid >= most AND list_reduce(sizes, lambda a, x: {{
+      'n': CASE WHEN a.load + x.s > mid THEN a.n + 1 ELSE a.n END, 'load': CASE WHEN a.load + x.s > mid THEN x.s ELSE a.load + x.s END, 's': 0::BIGINT }}, {{'n': 1::BIGINT, 'load': 0::BIGINT, 's': 0::BIGINT}}).n <= {SHARDS} AS ok
+    FROM (SELECT low, high, (low + high) // 2 AS mid FROM bs WHERE low < high) b, l
+  )
+),
+cap AS MATERIALIZED (SELECT min(high) AS c FROM bs WHERE low = high),
+o AS MATERIALIZED (SELECT doc_id, s, row_number() OVER (ORDER BY doc_id NULLS FIRST) AS i FROM g),
+walk AS (
+  SELECT i, doc_id, s, 0 AS shard, s AS load FROM o WHERE i = 1
+  UNION ALL
+  SELECT o.i, o.doc_id, o.s, CASE WHEN w.load + o.s > c THEN w.shard + 1 ELSE w.shard END, CASE WHEN w.load + o.s > c THEN o.s ELSE w.load + o.s END
+  FROM walk w JOIN o ON o.i = w.i + 1, cap
+)
+SELECT d.doc_id, strlen(coalesce(d.text, ''))::BIGINT AS bytes, w.shard FROM documents d JOIN walk w ON d.doc_id IS NOT DISTINCT FROM w.doc_id
+"""
