@@ -227,6 +227,27 @@ def test_recall_with_finer_cells(spark, monkeypatch):
     assert np.mean([len(near[i] & set(np.argsort(-s[i])[:10].tolist())) / 10 for i in range(3000)]) >= 0.9
 
 
+def test_recall_is_kept_at_64_dimensions_in_any_cells(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    x = r.standard_normal((1500, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    true = np.argsort(-s, axis=1)[:, :10]
+    for rows in (NN.CELL_ROWS, 10):
+        monkeypatch.setattr(NN, "CELL_ROWS", rows)
+        near = {}
+        for g in NN.nearest(df).collect():
+            near.setdefault(g.vec_id, set()).add(g.neighbour)
+        assert np.mean([len(near[i] & set(true[i].tolist())) / 10 for i in range(1500)]) >= 0.96
+    q, n = np.repeat(u[:200], 10, axis=0), u[true[:200].ravel()]
+    need = NN.needed(q, n, 1, 2)
+    for c in (3, 12):
+        probed = NN.probes(q, 0, 2, c) == NN.probes(n, 0, 2, 1)
+        assert (probed.any(axis=1) == (need <= c)).all()
+
+
 def test_rotations_keep_lengths_and_finer_cells_agree():
     x = np.random.default_rng(1).standard_normal((50, 48)).astype(np.float32)
     assert np.allclose(np.linalg.norm(NN.rotate(x, 3), axis=1), np.linalg.norm(x, axis=1), rtol=1e-4)
