@@ -5,7 +5,7 @@ masked self-attention and a hidden layer over embeddings of ids and places. Its
 classes of ids of about equal frequency, given the context, times an id's share of its class. Ids are counted
 over the whole corpus; the most frequent have embeddings of their own, the others share the last.
 
-Training: a fixed share of all windows, chosen by hash from every part of the corpus, is dealt
+Training: all windows of the corpus are dealt
 to trainers, whose number grows with the corpus. Each takes Adam steps from the same start, and the mean of their
 parameters is the start of the next round. Scoring: windows of ``WINDOW`` ids overlap by
 ``WINDOW - STRIDE``, so each id is scored once, with ``WINDOW - STRIDE`` ids of context at least (but for a
@@ -32,8 +32,8 @@ EMBEDDED = 8192
 CLASSES = 64
 WIDTH, HIDDEN = 16, 32
 WINDOW, STRIDE = 32, 24
-#: One of so many windows trains.
-TRAIN_EVERY = 16
+#: One of so many windows trains; 1: all.
+TRAIN_EVERY = 1
 #: Windows that one trainer gets in a round, about.
 TRAINER_WINDOWS = 16384
 ROUNDS, BATCH, RATE = 2, 64, 0.01
@@ -300,22 +300,28 @@ def score(m: dict[str, np.ndarray], v: Vocabulary, ids: np.ndarray, first: np.nd
     return out
 
 
-def fit(docs: DataFrame, text_col: str = "text", path: str = VOCABULARY, every: int = TRAIN_EVERY, trainer_windows: int = TRAINER_WINDOWS, rounds: int = ROUNDS) -> tuple[dict[str, np.ndarray], Vocabulary]:
-    """The model and the vocabulary of a corpus. Null and empty texts have no ids; an empty corpus leaves the starting model."""
+def fit(docs: DataFrame, text_col: str = "text", path: str = VOCABULARY, every: int = TRAIN_EVERY, trainer_windows: int = TRAINER_WINDOWS, rounds: int = ROUNDS, id_col: str = "doc_id") -> tuple[dict[str, np.ndarray], Vocabulary]:
+    """The model and the vocabulary of a corpus. Null and empty texts have no ids; an empty corpus leaves the starting model.
+
+    Windows are dealt by a hash of their ids, their place and the document's id (if there is such a column), so that copies spread over trainers.
+    """
     size = tokenizer(path).size
-    texts = docs.select(text_of(docs, text_col).alias("text")).where(F.length("text") > 0)
+    name = F.xxhash64(col(id_col).cast("string")) if id_col in docs.columns else F.lit(0).cast("long")
+    texts = docs.select(text_of(docs, text_col).alias("text"), name.alias("name")).where(F.length("text") > 0)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.int64)
         kind = [("id", pa.int32()), ("n", pa.int64()), ("h", pa.int64()), ("window", pa.binary())]
         for batch in batches:
-            for _, part in slices(batch.column("text")):
+            names = batch.column("name").to_numpy().view(np.uint64)
+            for at, part in slices(batch.column("text")):
                 ids, first = encode(part, path)
                 counts += np.bincount(ids, minlength=size)
-                _, begin, length, _ = _windows(first, WINDOW, WINDOW)
+                doc, begin, length, _ = _windows(first, WINDOW, WINDOW)
                 tokens, real = _gather(ids, begin, length, WINDOW) if len(begin) else (np.zeros((0, WINDOW), np.int32), np.zeros((0, WINDOW), bool))
                 tokens = np.where(real, tokens, size).astype(np.uint16 if size < 65535 else np.uint32)
                 h = mix((tokens.astype(np.uint64) * mix(np.arange(WINDOW) + 1)).sum(axis=1))
+                h = mix(h + mix(names[at + doc] + mix((begin - first[doc]).astype(np.uint64))))
                 pick = np.flatnonzero(h % np.uint64(every) == 0)
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(pick), pa.int32()), pa.nulls(len(pick), pa.int64()), pa.array((h[pick] // np.uint64(every)).view(np.int64)), pa.array([tokens[i].tobytes() for i in pick], pa.binary())], schema=pa.schema(kind))
         ids = np.flatnonzero(counts)

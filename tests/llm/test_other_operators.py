@@ -321,6 +321,20 @@ def test_model_learns_and_odd_rows(spark):
     assert P.scores(table(spark, []), m0, v0).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 6])
+def test_every_window_trains(spark, monkeypatch, n):
+    seen = []
+    monkeypatch.setattr(P, "pack", lambda m, own=P.pack: seen.append(m) or own(m))
+    m, _ = P.fit(table(spark, [(i, f"word number {i} of a small corpus", "en", "s") for i in range(n)]))
+    begin = P.start()
+    assert any((m[k] != begin[k]).any() for k in m) and len(seen) == P.ROUNDS
+    # copies under many ids are dealt to several trainers
+    copies = table(spark, [(i, "the very same words in each of the documents", "en", "s") for i in range(64)])
+    one, _ = P.fit(copies, trainer_windows=1000)
+    many, _ = P.fit(copies, trainer_windows=4)
+    assert any((one[k] != many[k]).any() for k in one)
+
+
 def test_model_beats_counts_on_held_out_text(spark):
     docs = spark.read.parquet(str(SF / "documents.parquet")).limit(200)
     m, v = P.fit(docs.where("doc_id % 4 > 0"), every=2, trainer_windows=2048)
