@@ -150,6 +150,15 @@ def test_warc_links_and_digests(spark, tmp_path):
     assert WA.derivatives(WA.responses(pages.limit(0))).count() == 0
 
 
+def test_all_references_are_decoded_once(spark):
+    html = "<title>caf&eacute; &#8217;</title><p>&copy;&nbsp;2024 &middot; a&#x2014;b &#xE9;&#160;&hearts; &amp;lt; &amp;copy; AT&T &nosuch; &CounterClockwiseContourIntegral; &lt;b&gt;</p>"
+    got = {r.warc_type: r.content for r in WA.derivatives(WA.responses(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string"))).collect()}
+    assert json.loads(got["metadata"])["Title"] == "café ’"
+    assert got["conversion"] == "café ’\n© 2024 · a—b é ♥ &lt; &copy; AT&T &nosuch; ∳ <b>"
+    pages = QUERIES["op3_warc"](spark, str(SF)).where("warc_type = 'conversion'")
+    assert pages.where("content rlike '&(copy|middot);'").count() == 0 < pages.where("content like '%©%·%'").count()
+
+
 def test_warc_round_trip(spark, tmp_path):
     body = "<title>é</title>hällo".encode()
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
