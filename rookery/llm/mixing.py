@@ -1,7 +1,8 @@
 """Mixing sources to target weights by balanced sampling with the cube method.
 
 Each source has an inclusion probability that gives it its target share of the words of
-the mix; the mix is as large as it can be without repeating a document. Within a source
+the mix. Of given weights the mix is as large as it can be without repeating a document. By default its size
+is fixed from the words of the corpus, and scarce sources are taken whole, so that none shrinks the others. Within a source
 the vector of probabilities is moved along the null space of two constraints, the number of
 documents and the number of words, at random and without drift, until all but two
 coordinates at most are 0 or 1 (the flight). Sources are cut into blocks by a hash, each
@@ -89,10 +90,17 @@ def _draws(h: pd.Series, level: int) -> list[float]:
 
 
 def probabilities(words: Mapping, weights: Mapping | None, power: float) -> dict:
-    """Inclusion probability by source. Sources without words get 1 (they add none), those without a weight 0."""
+    """Inclusion probability by source. Sources without words get 1 (they add none), those without a weight 0.
+
+    Given weights are met exactly, so the scarcest source bounds the mix. By default the corpus's words are dealt by weight:
+    a source with no more than its part is whole, the others give their part. That is the water-filling of a
+    mix of this size; a tiny source hardly changes it.
+    """
     share = {s: (float(n) ** power if weights is None else float(weights.get(s, 0.0))) for s, n in words.items()}
     can = [words[s] / share[s] for s in words if words[s] > 0 and share[s] > 0]
     total = min(can, default=0.0)
+    if weights is None and can:
+        total = sum(float(n) for n in words.values() if n) / sum(share[s] for s, n in words.items() if n)
     return {s: (1.0 if share[s] > 0 or weights is None else 0.0) if not n else min(1.0, total * share[s] / n) for s, n in words.items()}
 
 

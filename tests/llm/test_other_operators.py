@@ -117,6 +117,19 @@ def test_mix_meets_its_targets(spark, block):
     assert max(per) - min(per) < 1e-6 * max(per) and max(x.probability for x in got) == 1.0
 
 
+def test_a_tiny_source_does_not_shrink_the_others():
+    large = {f"s{i}": 50_000_000 for i in range(20)}
+    for stray in ({"t": 100}, {None: 1}, {f"t{i}": 100 for i in range(50)}):
+        p = M.probabilities({**large, **stray}, None, M.POWER)
+        assert all(p[s] == 1 for s in stray) and min(p[s] for s in large) > 0.99
+    skewed = {"a": 1_000_000_000, "b": 1_000_000, "c": 10_000, "d": 0}
+    p = M.probabilities(skewed, None, M.POWER)
+    # the whole ones have no more than their part; of the others all parts are of one level
+    level = p["a"] * skewed["a"] / skewed["a"] ** M.POWER
+    assert 0.5 < p["a"] < 1 and all(abs(p[s] - min(1, level * n**M.POWER / n)) < 1e-9 for s, n in skewed.items() if n) and p["d"] == 1
+    assert all(x == 1 for x in M.probabilities(large, None, M.POWER).values())
+
+
 def test_mix_odd_rows(spark):
     df = table(spark, ODD)
     out = M.stage(spark, df, "")
