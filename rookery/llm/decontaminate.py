@@ -1,11 +1,14 @@
 """Benchmark decontamination by spaced seeds.
 
 A seed is a hash of the words that a fixed mask selects from a window, so a substituted
-word at an ignored place doesn't matter; with several masks, nor does one at most other places. All
+word at an ignored place doesn't matter. All
 windows of the corpus are joined with all windows of the benchmark on their seeds. Around
 every hit the document and the item are aligned without gaps, and the best stretches
 of the alignment, where a match counts 1 and a substitution -2, are the verified overlap.
 
+No stretch is missed: one that scores 4 begins with a run of three matches at least, or its score is spent by the
+first substitution; after a run of just three a match must follow the substitution. So ``1111`` or ``11101`` hits it.
+
 The benchmark's seeds are broadcast, in chunks of ``CHUNK_BYTES`` of its text at most; a
 larger benchmark takes further passes over the corpus, so no executor ever holds more of it.
 """
@@ -22,7 +25,8 @@ from pyspark.sql import functions as F
 from .frames import col, fresh, table, text_of
 from .words import Words, constants, mix, slices, words
 
-MASKS = ("11101100101", "11010011011", "10110101110")
+#: Every stretch of MIN_STRETCH holds a window of one of these.
+MASKS = ("1111", "11101")
 CHUNK_BYTES = 32 << 20
 #: A stretch of so many matching words is a leak of itself.
 LONG_RUN = 13
@@ -53,19 +57,17 @@ def _seeds(w: Words, mask: str, number: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Index:
-    """The seeds of benchmark items. Items shorter than a mask have one seed, of all their words."""
+    """The seeds of benchmark items of MIN_ITEM words at least."""
 
     def __init__(self, ids: list, texts: list[str | None]):
         w = words(pa.array(texts, pa.string()))
         self.ids, self.words = ids, [w.hash[w.first[i] : w.first[i + 1]] for i in range(len(ids))]
-        span = max(map(len, MASKS))
-        self.masks = list(MASKS) + ["1" * n for n in sorted({len(x) for x in self.words if MIN_ITEM <= len(x) < span})]
-        length = w.counts()
+        self.all, self.first, length = w.hash, w.first, w.counts()
         hashes, items, places = [], [], []
-        for number, mask in enumerate(self.masks):
-            at, h = _seeds(w, mask, number if number < len(MASKS) else 1000 + len(mask))
+        for number, mask in enumerate(MASKS):
+            at, h = _seeds(w, mask, number)
             item = np.searchsorted(w.first, at, "right") - 1
-            keep = length[item] >= span if number < len(MASKS) else length[item] == len(mask)
+            keep = length[item] >= MIN_ITEM
             hashes.append(h[keep])
             items.append(item[keep])
             places.append((at - w.first[item])[keep])
@@ -79,8 +81,8 @@ class Index:
     def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text, item and diagonal (the text's place less the item's) of all hits, distinct."""
         found = []
-        for number, mask in enumerate(self.masks):
-            at, h = _seeds(w, mask, number if number < len(MASKS) else 1000 + len(mask))
+        for number, mask in enumerate(MASKS):
+            at, h = _seeds(w, mask, number)
             near = self.bloom[(h >> np.uint64(64 - _BLOOM_BITS)).astype(np.int64)]
             at, h = at[near], h[near]
             a, b = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
@@ -89,8 +91,31 @@ class Index:
             which = a + np.arange(len(a)) - np.repeat(np.cumsum(times) - times, times)
             doc = np.searchsorted(w.first, at, "right") - 1
             found.append(np.stack([doc, self.item[which], at - w.first[doc] - self.place[which]]))
-        distinct = np.unique(np.concatenate(found, axis=1), axis=1)
-        return distinct[0], distinct[1], distinct[2]
+        hit = np.concatenate(found, axis=1)
+        hit = hit[:, np.lexsort(hit[::-1])]
+        new = np.ones(hit.shape[1], bool)
+        new[1:] = (hit[:, 1:] != hit[:, :-1]).any(axis=0)
+        return tuple(hit[:, new])
+
+    def likely(self, w: Words, doc: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+        """Whether the matches on all diagonals of a hit's text and item are as many as the least leak needs."""
+        size, text = np.diff(self.first)[item], np.diff(w.first)[doc]
+        low, high = np.maximum(0, -diagonal), np.minimum(size, text - diagonal)
+        matches = np.zeros(len(doc), np.int64)
+        edges = np.cumsum(high - low)
+        begin = 0
+        while begin < len(doc):
+            # about a million words at once
+            end = max(begin + 1, int(np.searchsorted(edges, (edges[begin - 1] if begin else 0) + (1 << 20), "right")))
+            n = (high - low)[begin:end]
+            which = np.repeat(np.arange(begin, end), n)
+            j = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + low[which]
+            same = self.all[self.first[item[which]] + j] == w.hash[w.first[doc[which]] + diagonal[which] + j]
+            matches[begin:end] = np.bincount(which[same] - begin, minlength=end - begin)
+            begin = end
+        pair = np.cumsum(np.concatenate([[0], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])]).astype(np.int64))
+        total = np.bincount(pair, weights=matches)[pair]
+        return total >= np.minimum(LONG_RUN, np.maximum(np.minimum(MIN_COVERED, size), MIN_SHARE * size))
 
 
 def stretches(same: np.ndarray) -> list[tuple[int, int]]:
@@ -126,6 +151,9 @@ def leaks(w: Words, index: Index) -> list[list[tuple]]:
     """For each text the items that it contains: (id, share of its words covered, most matches in a stretch)."""
     out: list[list[tuple]] = [[] for _ in range(len(w.first) - 1)]
     doc, item, diagonal = index.hits(w)
+    if len(doc):
+        keep = index.likely(w, doc, item, diagonal)
+        doc, item, diagonal = doc[keep], item[keep], diagonal[keep]
     if not len(doc):
         return out
     first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])]))

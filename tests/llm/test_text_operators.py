@@ -210,6 +210,26 @@ def brute_overlap(text, item):
     return D.overlap(t, q, list(range(-len(q) + 1, len(t))))
 
 
+def test_every_leak_is_hit_at_any_length_and_substitution_rate():
+    r = random.Random(12)
+    kinds = {}
+    for n in [*range(5, 25), 30, 45, 59]:
+        for rate in (0, 0.01, 0.05, 0.1, 0.2):
+            for k in range(12):
+                item = [f"i{n}x{j}" for j in range(n)]
+                # never fewer than one where the rate isn't 0
+                places = set(r.sample(range(n), max(rate > 0, round(rate * n))))
+                changed = [f"z{k}y{j}" if j in places else x for j, x in enumerate(item)]
+                text = prose(13 + k, 20).split() + changed + prose(14 + k, 20).split()
+                t = W.words(pa.array([" ".join(text)]))
+                covered, longest = brute_overlap(" ".join(text), " ".join(item))
+                want = longest >= D.LONG_RUN or covered >= max(min(D.MIN_COVERED, n), D.MIN_SHARE * n)
+                got = D.leaks(t, D.Index(["q"], [" ".join(item)]))[0]
+                assert got == ([("q", covered / n, float(longest))] if want else []), (n, rate, sorted(places))
+                kinds.setdefault((n, rate > 0), set()).add(want)
+    assert True in kinds[9, True] and True in kinds[12, True] and True in kinds[5, False]
+
+
 def test_leaks_by_brute_force():
     r = random.Random(3)
     items = [prose(100 + i, n, 3000) for i, n in enumerate((6, 9, 14, 25, 40, 60))]
