@@ -1,15 +1,16 @@
 """Scores of a small causal language model, trained here on the corpus itself.
 
-Texts are cut into subword ids by a public byte-level vocabulary. The model, in numpy, has one block of
-masked self-attention and a hidden layer over embeddings of ids and places. Its output is factored: a softmax over
-classes of ids of about equal frequency, given the context, times an id's share of its class. Ids are counted
-over the whole corpus; the most frequent have embeddings of their own, the others share the last.
-
-Training: all windows of the corpus are dealt
-to trainers, whose number grows with the corpus. Each takes Adam steps from the same start, and the mean of their
-parameters is the start of the next round. Scoring: windows of ``WINDOW`` ids overlap by
-``WINDOW - STRIDE``, so each id is scored once, with ``WINDOW - STRIDE`` ids of context at least (but for a
-text's first ids), in batches under one causal mask.
+Texts are cut into subword ids by a public byte-level vocabulary, once; the ids are kept for training and scoring.
+The model, in numpy, has one block of masked self-attention and a hidden layer over embeddings of ids and places. Its
+output is factored: a softmax over classes of about equal mass, given the context, times a softmax over the
+class's ids, given the context too. The latter begins as the ids' shares of their class, so training starts from the
+unigram. Ids are counted over the whole corpus; every id that occurs has an embedding and an output vector of
+its own, those that don't occur share one.
+
+Training: all windows of the corpus are dealt, in blocks, to trainers, whose number grows with the corpus. Each takes
+Adam steps from the same start, and the mean of their parameters is the start of the next round. Scoring: windows of
+``WINDOW`` ids overlap by ``WINDOW - STRIDE``, so each id is scored once, with ``WINDOW - STRIDE`` ids of context at
+least (but for a text's first ids), in batches under one causal mask.
 """
 
 from __future__ import annotations
@@ -28,17 +29,25 @@ from .frames import checkpointed, col, table, text_of
 from .words import as_strings, buffers, mix, slices, spans
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-EMBEDDED = 8192
+#: Ids with rows of their own at most; as many as the vocabulary has.
+EMBEDDED = 50256
+#: Classes at least; of a corpus with many ids the root of their number, if that is more.
 CLASSES = 64
 WIDTH, HIDDEN = 16, 32
 WINDOW, STRIDE = 32, 24
-#: One of so many windows trains; 1: all.
+#: One of so many blocks of windows trains; 1: all.
 TRAIN_EVERY = 1
-#: Windows that one trainer gets in a round, about.
-TRAINER_WINDOWS = 16384
-ROUNDS, BATCH, RATE = 2, 64, 0.01
-#: Pieces that a worker remembers the ids of.
-REMEMBERED = 1 << 20
+#: Windows that one trainer gets in a round, about, and those of a block.
+TRAINER_WINDOWS, BLOCK_WINDOWS = 131_072, 64
+ROUNDS, RATE = 2, 0.02
+#: Windows of a step at most; fewer, down to the chunk's half, where a trainer's windows would make fewer steps than that.
+BATCH, STEPS = 512, 256
+#: Windows that go through the layers at a time.
+CHUNK = 64
+#: Models that are averaged at once.
+FAN_IN = 16
+#: Slots for pieces whose ids a worker remembers, and ids that it remembers at most.
+SLOTS, REMEMBERED = 1 << 20, 1 << 23
 _OTHER, _LETTER, _DIGIT, _BLANK, _WHITE = range(5)
 _CLASS = np.zeros(256, np.int8)
 _CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = _LETTER
@@ -67,8 +76,24 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids, self.bounds, self.used = np.zeros(1 << 20, np.int32), np.zeros((2, 1 << 18), np.int64), 0
+        self.key, self.begin, self.many = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+        self.ids, self.used = np.zeros(1 << 20, np.int32), 0
+
+    def _learn(self, data: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Puts the ids of these pieces behind those that are known; where they begin, and their number."""
+        new: list[int] = []
+        many, one = [], self.own._encode_single_piece
+        for a, b in zip(begin.tolist(), end.tolist()):
+            ids = one(data[a:b])
+            many.append(len(ids))
+            new += ids
+        while self.used + len(new) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(new)] = new
+        length = np.array(many, np.int32)
+        first = self.used + np.cumsum(length, dtype=np.int32) - length
+        self.used += len(new)
+        return first, length
 
     def pieces(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the pieces begin, and each text's first."""
@@ -96,30 +121,22 @@ class Encoder:
             return np.zeros(0, np.int32), np.zeros(len(off), np.int64)
         begin, first = self.pieces(raw, off)
         end = np.append(begin[1:], len(raw))
-        h = spans(raw, begin, end)
-        distinct, where, which = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) > REMEMBERED:
+        h = spans(raw, begin, end) | np.uint64(1)
+        if self.used > REMEMBERED:
             self._forget()
-        get, data = self.known.get, raw.tobytes()
-        slot = np.empty(len(distinct), np.int64)
-        for i, x in enumerate(distinct.tolist()):
-            k = get(x)
-            if k is None:
-                j = where[i]
-                ids = self.own._encode_single_piece(data[begin[j] : end[j]])
-                while self.used + len(ids) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                self.ids[self.used : self.used + len(ids)] = ids
-                self.known[x] = k = len(self.known)
-                if k == self.bounds.shape[1]:
-                    self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)], axis=1)
-                self.bounds[:, k] = self.used, len(ids)
-                self.used += len(ids)
-            slot[i] = k
-        start, length = self.bounds[:, slot]
-        many = length[which]
-        stop = np.cumsum(many)
-        out = self.ids[np.repeat(start[which] - (stop - many), many) + np.arange(int(stop[-1]))]
+        slot = (h >> np.uint64(8)).astype(np.int64) & (SLOTS - 1)
+        known = self.key[slot] == h
+        start, many = self.begin[slot], self.many[slot]
+        if not known.all():
+            new = np.flatnonzero(~known)
+            _, where, which = np.unique(h[new], return_index=True, return_inverse=True)
+            where = new[where]
+            a, n = self._learn(raw.tobytes(), begin[where], end[where])
+            start[new], many[new] = a[which], n[which]
+            # of new pieces in one slot the last stays known
+            self.key[slot[where]], self.begin[slot[where]], self.many[slot[where]] = h[where], a, n
+        stop = np.cumsum(many, dtype=np.int64)
+        out = self.ids[np.repeat(start - (stop - many), many) + np.arange(int(stop[-1]))]
         return out, np.concatenate([[0], stop])[first]
 
 
@@ -133,12 +150,20 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Vocabulary:
-    """Row of the embedding, class, and log share of its class, by id; from counts of all ids."""
+    """Row of the embedding, class, and log share of its class, by id; from counts of all ids.
 
-    def __init__(self, counts: np.ndarray, embedded: int = EMBEDDED, classes: int = CLASSES):
+    Rows go by frequency, and classes are stretches of rows: class c has the rows from ``low[c]`` to ``high[c]``, of log
+    masses ``mass[c]`` within it. Ids that don't occur, and those past ``embedded``, share the last row, of which each class has its ids' part.
+    """
+
+    def __init__(self, counts: np.ndarray, embedded: int = EMBEDDED, classes: int | None = None):
+        occurring = int((counts > 0).sum())
+        classes = classes or max(CLASSES, int(np.ceil(np.sqrt(occurring))))
         order = np.argsort(-counts, kind="stable")
-        self.row = np.full(len(counts), embedded - 1, np.int32)
-        self.row[order[: embedded - 1]] = np.arange(min(embedded - 1, len(counts)))
+        last = min(embedded - 1, occurring)
+        self.rows, self.classes = last + 1, classes
+        self.row = np.full(len(counts), last, np.int32)
+        self.row[order[:last]] = np.arange(last)
         smooth = counts[order].astype(np.float64) + 1
         mass = np.cumsum(smooth) - smooth / 2
         kind = np.minimum((mass / smooth.sum() * classes).astype(np.int64), classes - 1)
@@ -146,31 +171,51 @@ class Vocabulary:
         self.kind, self.share = np.zeros(len(counts), np.int32), np.zeros(len(counts), np.float32)
         self.kind[order] = kind
         self.share[order] = np.log(smooth / total[kind])
+        part = np.bincount(kind * self.rows + self.row[order], weights=smooth, minlength=classes * self.rows).reshape(classes, -1)
+        inside = part > 0
+        self.low = np.where(inside.any(axis=1), inside.argmax(axis=1), 0)
+        self.high = self.low + inside.sum(axis=1)
+        self.mass = [np.log(part[c, a:b] / total[c]).astype(np.float32) for c, (a, b) in enumerate(zip(self.low, self.high))]
 
 
 def start(classes: int = CLASSES, embedded: int = EMBEDDED, d: int = WIDTH, hidden: int = HIDDEN, window: int = WINDOW) -> dict[str, np.ndarray]:
+    """Random parameters, but for ``i``, the output vectors within a class, which are 0."""
     r = np.random.default_rng(7)
     w = lambda *s: (r.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
     return {
         "e": (r.standard_normal((embedded + 1, d)) * 0.3).astype(np.float32), "p": (r.standard_normal((window, d)) * 0.1).astype(np.float32), "qkv": w(d, 3 * d), "o": w(d, d) * np.float32(0.5),
         "w1": w(d, hidden), "b1": np.zeros(hidden, np.float32), "w2": w(hidden, d) * np.float32(0.5), "u": w(d, classes) * np.float32(0.5), "c": np.zeros(classes, np.float32),
+        "i": np.zeros((embedded, d), np.float32),
     }
 
 
+def cut(m: dict[str, np.ndarray], v: Vocabulary) -> dict[str, np.ndarray]:
+    """The model with the rows that the vocabulary uses, and the start mark."""
+    return m | {"e": np.concatenate([m["e"][: v.rows], m["e"][-1:]]), "i": m["i"][: v.rows].copy()}
+
+
+def whole(small: dict[str, np.ndarray], m: dict[str, np.ndarray], v: Vocabulary) -> dict[str, np.ndarray]:
+    """The cut model put back among the rows of ``m``."""
+    e, i = m["e"].copy(), m["i"].copy()
+    e[: v.rows], e[-1], i[: v.rows] = small["e"][:-1], small["e"][-1], small["i"]
+    return small | {"e": e, "i": i}
+
+
 @lru_cache(maxsize=256)
 def _mask(n: int) -> np.ndarray:
     return np.tril(np.ones((n, n), np.float32))
 
 
-def forward(m: dict[str, np.ndarray], rows: np.ndarray, keep: bool = False):
-    """Scores of the classes at every place of windows of rows; keep: all that the gradient needs, with probabilities."""
+def hidden(m: dict[str, np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """All that is computed up to the last layer, which comes last, at every place of windows of rows."""
     b, n = rows.shape
     d = m["p"].shape[1]
     x = m["e"][rows]
     x += m["p"][:n]
-    q, k, v = np.split((x.reshape(-1, d) @ m["qkv"]).reshape(b, n, 3 * d), 3, axis=2)
+    both = (x.reshape(-1, d) @ m["qkv"]).reshape(b, n, 3 * d)
+    q, k, v = both[:, :, :d], both[:, :, d : 2 * d], both[:, :, 2 * d :]
+    q *= np.float32(d**-0.5)
     s = q @ k.transpose(0, 2, 1)
-    s *= np.float32(d**-0.5)
     # the mask: later places get no weight
     np.minimum(s, np.float32(60), out=s)
     np.exp(s, out=s)
@@ -178,66 +223,157 @@ def forward(m: dict[str, np.ndarray], rows: np.ndarray, keep: bool = False):
     total = s.sum(axis=2, keepdims=True)
     y = s @ v
     y /= total
-    h = x + (y.reshape(-1, d) @ m["o"]).reshape(b, n, d)
-    a = h.reshape(-1, d) @ m["w1"]
-    a += m["b1"]
-    r = np.maximum(a, 0)
+    h = y.reshape(-1, d) @ m["o"]
+    h += x.reshape(-1, d)
+    r = h @ m["w1"]
+    r += m["b1"]
+    np.maximum(r, 0, out=r)
     z = r @ m["w2"]
-    z += h.reshape(-1, d)
-    out = z @ m["u"]
-    out += m["c"]
-    if keep:
-        e = np.exp(out - out.max(axis=1, keepdims=True))
-        return x, q, k, v, s / total, y, h, a, r, z, e / e.sum(axis=1, keepdims=True)
+    z += h
+    return x, q, k, v, s, total, y, h, r, z
+
+
+def forward(m: dict[str, np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """Scores of the classes at every place of windows of rows."""
+    return hidden(m, rows)[-1] @ m["u"] + m["c"]
+
+
+def _exp(x: np.ndarray) -> np.ndarray:
+    np.minimum(x, np.float32(80), out=x)
+    return np.exp(x, out=x)
+
+
+def inside(m: dict[str, np.ndarray], v: Vocabulary, z: np.ndarray, ids: np.ndarray, w: np.ndarray | None = None, g: dict[str, np.ndarray] | None = None, dz: np.ndarray | None = None) -> np.ndarray:
+    """Log probability of each id in its class, given the last layer.
+
+    With weights w, the gradients of the mean loss are added to g["i"] and dz; of weight 0 are places without an id.
+    """
+    kind = v.kind[ids].astype(np.int16)
+    order = np.argsort(kind, kind="stable")
+    edges = np.searchsorted(kind[order], np.arange(v.classes + 1))
+    # class by class
+    z, place = z[order], v.row[ids[order]] - v.low[kind[order]]
+    found = np.zeros(len(ids), np.float32)
+    if w is not None:
+        w, slope = w[order], np.zeros_like(z)
+    for c in np.flatnonzero((np.diff(edges) > 0) & (v.high - v.low > 1)):
+        here, rows = slice(edges[c], edges[c + 1]), slice(v.low[c], v.high[c])
+        s = z[here] @ m["i"][rows].T
+        at = np.arange(len(s)), place[here]
+        own = s[at]
+        s += v.mass[c]
+        p = _exp(s)
+        total = p @ _ones(p.shape[1])
+        found[here] = own - np.log(total)
+        if w is not None:
+            p *= (w[here] / total)[:, None]
+            p[at] -= w[here]
+            g["i"][rows] += p.T @ z[here]
+            np.matmul(p, m["i"][rows], out=slope[here])
+    if w is not None:
+        dz[order] += slope
+    out = v.share[ids]
+    out[order] += found
     return out
 
 
-def gradients(m: dict[str, np.ndarray], rows: np.ndarray, kinds: np.ndarray, real: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
-    """Gradient of the mean loss over the real targets, and that loss."""
+@lru_cache(maxsize=4096)
+def _ones(n: int) -> np.ndarray:
+    return np.ones(n, np.float32)
+
+
+def gradients(m: dict[str, np.ndarray], rows: np.ndarray, kinds: np.ndarray, real: np.ndarray, voc: Vocabulary | None = None, ids: np.ndarray | None = None, g: dict[str, np.ndarray] | None = None) -> tuple[dict[str, np.ndarray], float]:
+    """Gradient of the mean loss over the real targets, and that loss; without ids that of their classes alone. g: arrays to be used for it."""
     b, n = rows.shape
     d = m["p"].shape[1]
-    x, q, k, v, s, y, h, a, r, z, p = forward(m, rows, True)
-    at, t, w = np.arange(b * n), kinds.ravel(), real.ravel().astype(np.float32)
-    total = max(float(w.sum()), 1.0)
-    loss = float(-(np.log(p[at, t] + 1e-12) * w).sum() / total)
-    p[at, t] -= 1
-    p *= (w / total)[:, None]
-    g = {"u": z.T @ p, "c": p.sum(0)}
-    dz = p @ m["u"].T
-    g["w2"] = r.T @ dz
-    da = (dz @ m["w2"].T) * (a > 0)
-    flat = h.reshape(-1, d)
-    g["w1"], g["b1"] = flat.T @ da, da.sum(0)
-    dh = dz + da @ m["w1"].T
-    g["o"] = y.reshape(-1, d).T @ dh
-    dy = (dh @ m["o"].T).reshape(b, n, d)
-    dv = s.transpose(0, 2, 1) @ dy
-    ds = dy @ v.transpose(0, 2, 1)
-    ds = s * (ds - (ds * s).sum(axis=2, keepdims=True)) * np.float32(d**-0.5)
-    both = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, dv], axis=2).reshape(-1, 3 * d)
-    g["qkv"] = x.reshape(-1, d).T @ both
-    dx = dh + both @ m["qkv"].T
-    g["p"] = np.zeros_like(m["p"])
-    g["p"][:n] = dx.reshape(b, n, d).sum(0)
-    g["e"] = np.zeros_like(m["e"])
-    np.add.at(g["e"], rows.ravel(), dx)
+    g = g or {key: np.empty_like(value) for key, value in m.items()}
+    for key in g:
+        g[key][...] = 0
+    kinds, w = kinds.ravel(), real.ravel().astype(np.float32)
+    w /= max(float(w.sum()), 1.0)
+    kept, loss = [], 0.0
+    z, dz = np.empty((b * n, d), np.float32), np.empty((b * n, d), np.float32)
+    # few windows at a time, so that what they need stays in the caches
+    for begin in range(0, b, CHUNK):
+        x = hidden(m, rows[begin : begin + CHUNK])
+        at = slice(begin * n, begin * n + len(x[-1]))
+        z[at] = x[-1]
+        p = x[-1] @ m["u"]
+        p += m["c"]
+        target = np.arange(len(p)), kinds[at]
+        own = p[target]
+        _exp(p)
+        total = p @ _ones(p.shape[1])
+        loss -= float(((own - np.log(total)) * w[at]).sum())
+        p *= (w[at] / total)[:, None]
+        p[target] -= w[at]
+        g["u"] += x[-1].T @ p
+        g["c"] += _ones(len(p)) @ p
+        np.matmul(p, m["u"].T, out=dz[at])
+        kept.append((at, x[:-1]))
+    if voc is not None:
+        loss -= float((inside(m, voc, z, ids.ravel(), w, g, dz) * w).sum())
+    for at, (x, q, k, v, s, total, y, h, r) in kept:
+        dh = dz[at]
+        g["w2"] += r.T @ dh
+        da = dh @ m["w2"].T
+        da *= r > 0
+        g["w1"] += h.T @ da
+        g["b1"] += _ones(len(da)) @ da
+        dh += da @ m["w1"].T
+        g["o"] += y.reshape(-1, d).T @ dh
+        dy = (dh @ m["o"].T).reshape(y.shape)
+        dy /= total
+        both = np.empty((*y.shape[:2], 3 * d), np.float32)
+        np.matmul(s.transpose(0, 2, 1), dy, out=both[:, :, 2 * d :])
+        ds = dy @ v.transpose(0, 2, 1)
+        ds -= np.einsum("bij,bij->bi", dy, y)[:, :, None]
+        ds *= s
+        np.matmul(ds, k, out=both[:, :, :d])
+        both[:, :, :d] *= np.float32(d**-0.5)
+        np.matmul(ds.transpose(0, 2, 1), q, out=both[:, :, d : 2 * d])
+        both = both.reshape(-1, 3 * d)
+        g["qkv"] += x.reshape(-1, d).T @ both
+        dh += both @ m["qkv"].T
+        g["p"][:n] += dh.reshape(y.shape).sum(0)
+    where = (rows.reshape(-1, 1) * np.int64(d) + np.arange(d)).ravel()
+    g["e"][:] = np.bincount(where, weights=dz.ravel(), minlength=m["e"].size).reshape(m["e"].shape)
     return g, loss
 
 
-def train(m: dict[str, np.ndarray], rows: np.ndarray, kinds: np.ndarray, real: np.ndarray, rate: float = RATE, batch: int = BATCH) -> dict[str, np.ndarray]:
-    """One pass of Adam over the windows, with a falling rate."""
-    m = {k: v.copy() for k, v in m.items()}
-    first, second = ({k: np.zeros_like(v) for k, v in m.items()} for _ in range(2))
-    steps = -(-len(rows) // batch)
+def _views(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    out, at = {}, 0
+    for k, x in like.items():
+        out[k] = flat[at : at + x.size].reshape(x.shape)
+        at += x.size
+    return out
+
+
+def train(m: dict[str, np.ndarray], voc: Vocabulary, tokens: np.ndarray, real: np.ndarray, rate: float = RATE) -> dict[str, np.ndarray]:
+    """One pass of Adam over windows of ids, with a falling rate."""
+    p = np.concatenate([x.ravel() for x in m.values()])
+    g, first, second, room = (np.zeros_like(p) for _ in range(4))
+    now, slope = _views(p, m), _views(g, m)
+    batch = min(BATCH, max(CHUNK // 2, len(tokens) // STEPS))
+    steps = -(-len(tokens) // batch)
     for t in range(steps):
         part = slice(t * batch, (t + 1) * batch)
-        g, _ = gradients(m, rows[part], kinds[part], real[part])
+        ids = tokens[part]
+        gradients(now, _inputs(voc, ids, real[part], len(m["e"]) - 1), voc.kind[ids], real[part], voc, ids, slope)
         pace = np.float32(rate * (1 - t / steps) * np.sqrt(1 - 0.99 ** (t + 1)) / (1 - 0.9 ** (t + 1)))
-        for k in m:
-            first[k] += np.float32(0.1) * (g[k] - first[k])
-            second[k] += np.float32(0.01) * (g[k] * g[k] - second[k])
-            m[k] -= pace * first[k] / (np.sqrt(second[k]) + np.float32(1e-6))
-    return m
+        first *= np.float32(0.9)
+        np.multiply(g, np.float32(0.1), out=room)
+        first += room
+        np.multiply(g, g, out=g)
+        g *= np.float32(0.01)
+        second *= np.float32(0.99)
+        second += g
+        np.sqrt(second, out=room)
+        room += np.float32(1e-6)
+        np.divide(first, room, out=room)
+        room *= pace
+        p -= room
+    return {k: x.copy() for k, x in now.items()}
 
 
 def pack(m: dict[str, np.ndarray]) -> bytes:
@@ -277,122 +413,175 @@ def _inputs(v: Vocabulary, ids: np.ndarray, real: np.ndarray, embedded: int) ->
     return rows
 
 
-def score(m: dict[str, np.ndarray], v: Vocabulary, ids: np.ndarray, first: np.ndarray, window: int = WINDOW, stride: int = STRIDE, batch: int = 128) -> np.ndarray:
+def score(m: dict[str, np.ndarray], v: Vocabulary, ids: np.ndarray, first: np.ndarray, window: int = WINDOW, stride: int = STRIDE, batch: int = BATCH) -> np.ndarray:
     """Sum of the log probabilities of each text's ids, each scored once."""
     doc, begin, size, seen = _windows(first, window, stride)
     out = np.zeros(len(first) - 1)
     # full windows and short ones apart, so that short texts don't pay for padding
     order = np.argsort(size, kind="stable")
-    t = 0
-    while t < len(order):
-        pick = order[t : t + batch]
-        n = int(size[pick[-1]])
-        t += batch
-        tokens, real = _gather(ids, begin[pick], size[pick], n)
-        logits = forward(m, _inputs(v, tokens, real, len(m["e"]) - 1))
-        kind = v.kind[tokens].ravel()
-        own = logits[np.arange(len(kind)), kind] + v.share[tokens].ravel()
-        np.minimum(logits, np.float32(80), out=logits)
-        np.exp(logits, out=logits)
-        own = (own - np.log(logits.sum(axis=1))).reshape(tokens.shape)
-        own[~real | (np.arange(n) < seen[pick][:, None])] = 0
-        out += np.bincount(doc[pick], weights=own.sum(axis=1), minlength=len(out))
+    for t in range(0, len(order), batch):
+        layer, target, log, whose = [], [], [], []
+        for pick in np.split(order[t : t + batch], range(CHUNK, batch, CHUNK)):
+            if not len(pick):
+                continue
+            n = int(size[pick[-1]])
+            tokens, real = _gather(ids, begin[pick], size[pick], n)
+            z = hidden(m, _inputs(v, tokens, real, len(m["e"]) - 1))[-1]
+            # only the places that this window scores
+            which = np.flatnonzero(real & (np.arange(n) >= seen[pick][:, None]))
+            z, own = z[which], tokens.ravel()[which]
+            logits = z @ m["u"]
+            logits += m["c"]
+            log.append(logits[np.arange(len(own)), v.kind[own]])
+            log[-1] -= np.log(_exp(logits) @ _ones(logits.shape[1]))
+            layer.append(z), target.append(own), whose.append(doc[pick][which // n])
+        got = np.concatenate(log) + inside(m, v, np.concatenate(layer), np.concatenate(target))
+        out += np.bincount(np.concatenate(whose), weights=got, minlength=len(out))
     return out
 
 
-def fit(docs: DataFrame, text_col: str = "text", path: str = VOCABULARY, every: int = TRAIN_EVERY, trainer_windows: int = TRAINER_WINDOWS, rounds: int = ROUNDS, id_col: str = "doc_id") -> tuple[dict[str, np.ndarray], Vocabulary]:
-    """The model and the vocabulary of a corpus. Null and empty texts have no ids; an empty corpus leaves the starting model.
+def _keep_memory() -> None:
+    """Tells the C library to keep what arrays free for the next ones, instead of giving the pages back each time."""
+    import ctypes
 
-    Windows are dealt by a hash of their ids, their place and the document's id (if there is such a column), so that copies spread over trainers.
-    """
+    try:
+        own = ctypes.CDLL(None).mallopt
+    except (OSError, AttributeError):
+        return
+    own(-1, 1 << 28), own(-3, 1 << 28)  # M_TRIM_THRESHOLD, M_MMAP_THRESHOLD
+
+
+def _word(size: int) -> type:
+    return np.uint16 if size <= 65536 else np.uint32
+
+
+def coded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
+    """(doc_id, name, ids) of every row: a hash of the id, if there is such a column, and of the text, and the text's ids. Null texts have none."""
     size = tokenizer(path).size
-    name = F.xxhash64(col(id_col).cast("string")) if id_col in docs.columns else F.lit(0).cast("long")
-    texts = docs.select(text_of(docs, text_col).alias("text"), name.alias("name")).where(F.length("text") > 0)
+    own = col(id_col) if id_col in docs.columns else F.lit(None).cast("long")
+    slim = docs.select(own.alias("doc_id"), F.xxhash64(own.cast("string"), text_of(docs, text_col)).alias("name"), text_of(docs, text_col).alias("text"))
+    kind = slim.schema["doc_id"].dataType.simpleString()
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(size, np.int64)
-        kind = [("id", pa.int32()), ("n", pa.int64()), ("h", pa.int64()), ("window", pa.binary())]
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.column("name").to_numpy().view(np.uint64)
             for at, part in slices(batch.column("text")):
                 ids, first = encode(part, path)
-                counts += np.bincount(ids, minlength=size)
-                doc, begin, length, _ = _windows(first, WINDOW, WINDOW)
-                tokens, real = _gather(ids, begin, length, WINDOW) if len(begin) else (np.zeros((0, WINDOW), np.int32), np.zeros((0, WINDOW), bool))
-                tokens = np.where(real, tokens, size).astype(np.uint16 if size < 65535 else np.uint32)
-                h = mix((tokens.astype(np.uint64) * mix(np.arange(WINDOW) + 1)).sum(axis=1))
-                h = mix(h + mix(names[at + doc] + mix((begin - first[doc]).astype(np.uint64))))
-                pick = np.flatnonzero(h % np.uint64(every) == 0)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(pick), pa.int32()), pa.nulls(len(pick), pa.int64()), pa.array((h[pick] // np.uint64(every)).view(np.int64)), pa.array([tokens[i].tobytes() for i in pick], pa.binary())], schema=pa.schema(kind))
-        ids = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(counts[ids]), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.binary())], schema=pa.schema(kind))
-
-    gathered = checkpointed(texts.mapInArrow(gather, "id int, n long, h long, window binary"))
-    counts = np.zeros(size, np.int64)
-    for r in gathered.where("id is not null").groupBy("id").agg(F.sum("n").alias("n")).collect():
+                data = ids.astype(_word(size))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(part)), batch.column("name").slice(at, len(part)), _binary(data, first)], names=["doc_id", "name", "ids"])
+
+    return checkpointed(slim.mapInArrow(cut_up, f"doc_id {kind}, name long, ids binary"))
+
+
+def _binary(data: np.ndarray, first: np.ndarray) -> pa.Array:
+    """The stretches of data between these bounds as binary values."""
+    return pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer((first * data.itemsize).astype(np.int32)), pa.py_buffer(data)])
+
+
+def _ids(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all rows, one after the other, and where each row's begin."""
+    raw, off = buffers(column)
+    word = np.dtype(_word(size))
+    return np.frombuffer(raw.tobytes(), word), off // word.itemsize
+
+
+def fit(docs: DataFrame, text_col: str = "text", path: str = VOCABULARY, every: int = TRAIN_EVERY, trainer_windows: int = TRAINER_WINDOWS, rounds: int = ROUNDS, id_col: str = "doc_id", ids: DataFrame | None = None) -> tuple[dict[str, np.ndarray], Vocabulary]:
+    """The model and the vocabulary of a corpus; ids: what ``coded`` gives for it, if that is at hand.
+
+    Null and empty texts have no ids; an empty corpus leaves the starting model. Texts are cut into blocks of windows, which are
+    dealt by a hash of the document's id (if there is such a column), its text and the block's place, so that copies spread over trainers.
+    """
+    size = tokenizer(path).size
+    ids = (coded(docs, id_col, text_col, path) if ids is None else ids).select("name", "ids").where(F.length("ids") > 0)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, windows = np.zeros(size + 1, np.int64), 0
+        for batch in batches:
+            got, first = _ids(batch.column("ids"), size)
+            counts[:size] += np.bincount(got, minlength=size)
+            windows += int((-(-np.diff(first) // WINDOW)).sum())
+        # the last is the number of windows
+        counts[size] = windows
+        there = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(counts[there])], names=["id", "n"])
+
+    counts = np.zeros(size + 1, np.int64)
+    for r in ids.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r.id] = r.n
-    v = Vocabulary(counts)
-    windows = gathered.where("window is not null").select("h", "window")
-    total = windows.count()
-    m = start()
-    like = {k: np.empty_like(x) for k, x in m.items()}
+    v, total = Vocabulary(counts[:size]), int(counts[size])
+    m = start(v.classes)
+    like = {k: np.empty_like(x) for k, x in cut(m, v).items()}
     share = docs.sparkSession.sparkContext.broadcast
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span = BLOCK_WINDOWS * WINDOW
+        for batch in batches:
+            got, first = _ids(batch.column("ids"), size)
+            many = -(-np.diff(first) // span)
+            doc = np.repeat(np.arange(len(many)), many)
+            place = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+            h = mix(batch.column("name").to_numpy().view(np.uint64)[doc] + mix(place.astype(np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), _binary(got, np.append(first[doc] + place * span, len(got)))], names=["h", "ids"])
+
+    dealt = ids.mapInArrow(blocks, "h long, ids binary").where(F.pmod("h", F.lit(every)) == 0)
+    schema = "branch long, weight double, model binary"
     for round_ in range(rounds if total else 0):
-        trainers = max(1, round(total / rounds / trainer_windows))
-        model = share((pack(m), v))
+        trainers = max(1, round(total / every / rounds / trainer_windows))
+        model = share((pack(cut(m, v)), v))
 
-        def one(frame: pd.DataFrame) -> pd.DataFrame:
+        def one(key: tuple, group: pa.Table) -> pa.Table:
+            _keep_memory()
             data, voc = model.value
-            frame = frame.sort_values(["h", "window"], kind="stable")
-            tokens = np.frombuffer(b"".join(frame["window"]), np.uint16 if size < 65535 else np.uint32).reshape(-1, WINDOW).astype(np.int64)
-            real = tokens < size
-            tokens = np.where(real, tokens, 0)
-            got = train(unpack(data, like), _inputs(voc, tokens, real, EMBEDDED), voc.kind[tokens], real)
-            return pd.DataFrame({"branch": [int(frame["trainer"].iloc[0]) // 64], "weight": [float(len(frame))], "model": [pack(got)]})
+            group = group.sort_by("h").combine_chunks()
+            got, first = _ids(pa.concat_arrays(group.column("ids").chunks), size)
+            _, begin, length, _ = _windows(first, WINDOW, WINDOW)
+            order = np.random.default_rng(round_).permutation(len(begin))
+            tokens, real = _gather(got, begin[order], length[order], WINDOW)
+            trained = train(unpack(data, like), voc, tokens.astype(np.int32), real)
+            return pa.table({"branch": [key[0].as_py() // FAN_IN], "weight": [float(len(order))], "model": [pack(trained)]})
 
         def mean(frame: pd.DataFrame) -> pd.DataFrame:
             total_ = sum(w * np.frombuffer(x, np.float32).astype(np.float64) for w, x in zip(frame["weight"], frame["model"])) / frame["weight"].sum()
-            return pd.DataFrame({"branch": [int(frame["branch"].iloc[0]) // 64], "weight": [frame["weight"].sum()], "model": [total_.astype(np.float32).tobytes()]})
+            return pd.DataFrame({"branch": [int(frame["branch"].iloc[0]) // FAN_IN], "weight": [frame["weight"].sum()], "model": [total_.astype(np.float32).tobytes()]})
 
-        schema = "branch long, weight double, model binary"
-        dealt = windows.where(F.pmod(F.shiftright("h", 8), F.lit(rounds)) == round_).withColumn("trainer", F.pmod(F.shiftright("h", 16), F.lit(trainers)))
-        got = dealt.groupBy("trainer").applyInPandas(one, schema)
+        mine = dealt.where(F.pmod(F.shiftright("h", 8), F.lit(rounds)) == round_).withColumn("trainer", F.pmod(F.shiftright("h", 16), F.lit(trainers)))
+        got = mine.groupBy("trainer").applyInArrow(one, schema)
         while True:
             got = checkpointed(got.groupBy("branch").applyInPandas(mean, schema))
             if got.count() <= 1:
                 break
         if row := got.first():
-            m = {k: x.copy() for k, x in unpack(row.model, like).items()}
+            m = whole({k: x.copy() for k, x in unpack(row.model, like).items()}, m, v)
     return m, v
 
 
-def scores(docs: DataFrame, m: dict[str, np.ndarray], v: Vocabulary, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
+def scores(docs: DataFrame, m: dict[str, np.ndarray], v: Vocabulary, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY, ids: DataFrame | None = None) -> DataFrame:
     """(doc_id, tokens, nll, perplexity) of every row: number of ids, mean negative log probability, and its exponential.
 
     Null, empty and idless texts have 0 tokens and null scores. Repeated rows stay; whole texts are scored; other
-    columns are left out.
+    columns are left out. ids: what ``coded`` gives for the rows, if that is at hand.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((pack(m), v))
-    like = {k: np.empty_like(x) for k, x in m.items()}
-
-    @F.arrow_udf(returnType="struct<tokens:double,nll:double>")
-    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    size = tokenizer(path).size
+    ids = coded(docs, id_col, text_col, path) if ids is None else ids
+    small = cut(m, v)
+    shared = docs.sparkSession.sparkContext.broadcast((pack(small), v))
+    like = {k: np.empty_like(x) for k, x in small.items()}
+    kind = ids.schema["doc_id"].dataType.simpleString()
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _keep_memory()
         data, voc = shared.value
         model = unpack(data, like)
         for batch in batches:
-            n, total = [np.zeros(0)], [np.zeros(0)]
-            for _, part in slices(batch):
-                ids, first = encode(part, path)
-                n.append(np.diff(first).astype(np.float64))
-                total.append(score(model, voc, ids, first) if len(ids) else np.zeros(len(first) - 1))
-            count, sums = np.concatenate(n), np.concatenate(total)
-            yield pa.StructArray.from_arrays([pa.array(count), pa.array(-sums / np.maximum(count, 1), mask=count == 0)], names=["tokens", "nll"])
+            got, first = _ids(batch.column("ids"), size)
+            count = np.diff(first)
+            sums = score(model, voc, got, first)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count.astype(np.float64)), pa.array(-sums / np.maximum(count, 1), mask=count == 0)], names=["doc_id", "tokens", "nll"])
 
-    out = docs.select(col(id_col).alias("doc_id"), judge(text_of(docs, text_col)).alias("s"))
-    return out.select("doc_id", F.col("s.tokens").alias("tokens"), F.col("s.nll").alias("nll"), F.exp("s.nll").alias("perplexity"))
+    return ids.select("doc_id", "ids").mapInArrow(judge, f"doc_id {kind}, tokens double, nll double").withColumn("perplexity", F.exp("nll"))
 
 
 def op9_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    m, v = fit(docs)
-    return scores(docs, m, v)
+    ids = coded(docs)
+    m, v = fit(docs, ids=ids)
+    return scores(docs, m, v, ids=ids)

@@ -73,8 +73,8 @@ def as_strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes and offsets of a string array without nulls."""
-    wide = pa.types.is_large_string(column.type)
+    """Bytes and offsets of an array of strings or binary values without nulls."""
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, offsets, data = column.buffers()
     off = np.frombuffer(offsets, dtype=np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
