@@ -8,7 +8,9 @@ of each function gives null instead.
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Callable
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +49,43 @@ def _all_errors(games: Games) -> np.ndarray:
     return np.maximum(games.error, 0)
 
 
-def _decoded(blobs: pa.Array, fens_: pa.Array, limit: int | None = None) -> Games:
-    return decode(blobs.to_pylist(), fens_.to_pylist() if fens_.null_count < len(fens_) else None, limit)
+#: Bytes of decoded games that a worker keeps for the other functions of the same batch.
+KEPT_BYTES = 192 << 20
+_kept: OrderedDict[bytes, tuple[int, Games]] = OrderedDict()
+
+
+def _key(*columns: pa.Array) -> bytes:
+    """A hash of the values of these columns."""
+    h = blake2b(digest_size=16)
+    for x in columns:
+        h.update(np.array([len(x), x.null_count], np.int64))
+        if not len(x) or x.null_count == len(x):
+            continue
+        if x.null_count:
+            h.update(x.is_valid().to_numpy(zero_copy_only=False))
+            x = pc.fill_null(x, b"" if pa.types.is_binary(x.type) else "")
+        off = np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1]
+        h.update(off - off[0])
+        if off[-1] > off[0]:
+            h.update(x.buffers()[2][int(off[0]) : int(off[-1])])
+    return h.digest()
+
+
+def _decoded(blobs: pa.Array, fens_: pa.Array, limit: int | None = None, until: Callable | None = None) -> Games:
+    """The games of a batch; whole ones are kept, so that several functions of one batch decode it once."""
+    key = _key(blobs, fens_) if all(x.type in (pa.binary(), pa.string()) for x in (blobs, fens_)) else None
+    if key in _kept:
+        _kept.move_to_end(key)
+        return _kept[key][1]
+    games = decode(blobs.to_pylist(), fens_.to_pylist() if fens_.null_count < len(fens_) else None, limit, until)
+    if key is not None and limit is None and until is None:
+        arrays = [*vars(games.positions).values(), *vars(games.moves).values(), games.plies, games.error, games.level]
+        for x in arrays:
+            x.flags.writeable = False
+        _kept[key] = sum(x.nbytes for x in arrays), games
+        while sum(n for n, _ in _kept.values()) > KEPT_BYTES:
+            _kept.popitem(last=False)
+    return games
 
 
 def _at(blobs: pa.Array, positions: pa.Array, fens_: pa.Array) -> tuple[Games, np.ndarray, np.ndarray, np.ndarray]:
@@ -191,7 +228,7 @@ def _moved(games: Games) -> pa.Array:
 def _pgn(blobs, fens_):
     raw = blobs.to_pylist()
     tree = [notation.has_variations(b) for b in raw]
-    games = decode([None if t else b for b, t in zip(raw, tree)], fens_.to_pylist())
+    games = decode([None if t else b for b, t in zip(raw, tree)], fens_.to_pylist()) if any(tree) else _decoded(blobs, fens_)
     error = _all_errors(games)
     game = np.repeat(np.arange(len(games.plies)), games.plies)
     ply = np.arange(len(game)) - games.move_at[game]
@@ -212,7 +249,7 @@ def _first(hit: np.ndarray, x: Plies, n: int) -> np.ndarray:
 
 def _subfen(masks: list[int]):
     def run(blobs, fens_):
-        games = _decoded(blobs, fens_)
+        games = _decoded(blobs, fens_, until=lambda p: superset(p, masks))
         x = Plies(games)
         found = _first(superset(games.positions, masks) & (x.ply > 0), x, len(games.plies)) < 1 << 40
         error = np.where(found, 0, _all_errors(games))
@@ -223,22 +260,26 @@ def _subfen(masks: list[int]):
 
 def _exact(state: tuple | None, ply_wanted: bool):
     """Search for a whole position. A game whose pawns have left a home square that the target needs is given up there."""
+    boards, turn, rights, ep = state[0], state[1], state[2], state[3]
+    home = (np.uint64(boards[0] & 0xFF00), np.uint64(boards[6] & 0xFF000000000000))
 
-    def run(blobs, fens_):
-        games = _decoded(blobs, fens_)
-        n = len(games.plies)
-        x = Plies(games)
-        p = games.positions
-        hit = np.ones(len(p), bool)
-        boards, turn, rights, ep = state[0], state[1], state[2], state[3]
+    def same(p) -> np.ndarray:
+        hit = (p.turn == turn) & (p.castling == np.uint64(rights))
         for k in range(12):
             hit &= p.boards[k] == np.uint64(boards[k])
-        hit &= (p.turn == turn) & (p.castling == np.uint64(rights))
         at = np.flatnonzero(hit)
         if len(at):
             hit[at] = legal_ep(Attacks(p.take(at))) == ep
-        home = (np.uint64(boards[0] & 0xFF00), np.uint64(boards[6] & 0xFF000000000000))
-        lost = (((home[0] & ~p.boards[0]) | (home[1] & ~p.boards[6])) != 0) & (x.ply > 0)
+        return hit
+
+    def left(p) -> np.ndarray:
+        return ((home[0] & ~p.boards[0]) | (home[1] & ~p.boards[6])) != 0
+
+    def run(blobs, fens_):
+        games = _decoded(blobs, fens_, until=lambda p: same(p) | left(p))
+        n = len(games.plies)
+        x = Plies(games)
+        hit, lost = same(games.positions), left(games.positions) & (x.ply > 0)
         first, given_up = _first(hit, x, n), _first(lost, x, n)
         found = (first < 1 << 40) & (first <= given_up)
         error = np.where(found | (given_up < 1 << 40), 0, _all_errors(games))

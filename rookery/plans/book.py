@@ -20,6 +20,17 @@ BOOK = [
     ("a4 b5 axb5 a6 bxa6 Bb7 axb7 Qc8 bxa8=Q Qa6 Qxb8+", "0818312198213028A1283A31A8313B3AF1383A28B839"),
     ("d4 Nf6 c4 e6 Nc3 Bb4 e3 O-O Bd3 d5 Nf3 c5 O-O Nc6 a3 Bxc3 bxc3 dxc4 Bxc4 Qc7", "0B1B3E2D0A1A342C01123D190C143C3F05133323061532220407392A081099128912A31A931A3B32"),
 ]
+#: Legal replies to each move of the lines, from a plain move generator.
+REPLIES = [
+    (20, 29, 29, 33, 31, 33, 32, 30, 30, 31, 3, 24, 5, 27, 3, 28, 1, 32, 0),
+    (20, 29, 29, 27, 33, 35, 36, 35, 29, 40, 37, 45, 36, 44, 29, 41, 27, 43, 27, 44, 5, 49, 22, 51, 22, 42, 18, 47, 4, 46, 1, 33, 0),
+    (20, 19, 30, 0),
+    (20, 29, 29, 33, 28, 43, 0),
+    (20, 30, 18, 31, 28, 29, 44, 26, 46, 27, 51, 25),
+    (20, 27, 27, 28, 28, 34, 34, 35, 35, 30),
+    (20, 22, 20, 25, 20, 24, 24, 33, 20, 31, 1),
+    (20, 28, 22, 30, 28, 27, 33, 30, 30, 36, 33, 36, 32, 38, 35, 34, 33, 33, 35, 34),
+]
 
 
 def book(spark: SparkSession) -> DataFrame:

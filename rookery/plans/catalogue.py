@@ -11,7 +11,8 @@ from rookery.functions import scalars as S
 from rookery.functions.fen import NAMES
 from rookery.operators import columns as C
 
-from .book import REPLAY, SQL_FEN_BOARD, order_games
+from . import studies
+from .book import REPLAY, REPLIES, SQL_FEN_BOARD, order_games
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -183,9 +184,9 @@ def move_details_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(order_games(spark, sf_dir).select("o_orderkey", F.explode(C.move_details_ext("movedata")).alias("d")), ("is_stalemate",))
 
 
-@query()
+@query(f"{REPLAY}, replies(number, n) AS (VALUES {', '.join(f'({i}, {list(r)})' for i, r in enumerate(REPLIES))}) SELECT g.o_orderkey, (p.ply - 1)::INT AS ply, r.n[p.ply]::SMALLINT AS replies FROM games g {_AT}p.ply AND p.ply BETWEEN 1 AND g.k JOIN replies r ON r.number = g.number")
 def legal_response_move_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers of replies need a move generator, which SQL lacks; perft tests stand for them."""
+    """SQL has the numbers of replies from a plain move generator, see the tests."""
     return order_games(spark, sf_dir).select("o_orderkey", F.posexplode(C.move_details_ext("movedata")).alias("ply", "d")).select("o_orderkey", "ply", F.col("d.legal_response_move_count").alias("replies"))
 
 
@@ -368,3 +369,58 @@ def players_of_a_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     played = lambda r: o.where(F.col("o_orderkey") % 8 == r).select(F.col("o_custkey").alias("c_custkey"))
     who = c.join(played(1), "c_custkey", "left_semi").join(played(2), "c_custkey", "left_anti").join(n, c.c_nationkey == n.n_nationkey)
     return who.rollup("c_mktsegment", "n_name").agg(F.count(F.lit(1)).alias("players"))
+
+
+# Games that start elsewhere.
+
+for _f, _sql in ((studies.study_positions, studies.POSITIONS_SQL), (studies.study_details, studies.DETAILS_SQL), (studies.study_text, studies.TEXT_SQL), (studies.study_searches, studies.SEARCHES_SQL)):
+    query(_sql)(_f)
+
+
+# More relational work.
+
+
+@query(f"{REPLAY} SELECT g.o_orderkey, g.number, p.half FROM games g {_AT}g.k ORDER BY p.half DESC, g.o_totalprice DESC, g.o_orderkey LIMIT 50")
+def quietest_endings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sort and limit: the ends longest without capture or pawn's move; a bounded heap a task, no full sort."""
+    g = order_games(spark, sf_dir, "o_totalprice").withColumn("half", F.element_at(F.split(C.fen_at_position("movedata", F.col("k")), " "), 5).cast("int"))
+    return g.orderBy(F.desc("half"), F.desc("o_totalprice"), "o_orderkey").limit(50).select("o_orderkey", "number", "half")
+
+
+@query(f"""{REPLAY}
+, played AS (SELECT g.o_orderkey, p.role FROM games g {_AT}p.ply AND p.ply BETWEEN 1 AND g.k), taken AS (SELECT g.o_orderkey, p.capture AS role FROM games g {_AT}p.ply AND p.ply BETWEEN 1 AND g.k AND p.capture <> '')
+SELECT 'moved and taken' AS what, * FROM (SELECT * FROM played INTERSECT SELECT * FROM taken) UNION ALL SELECT 'moved only', * FROM (SELECT * FROM played EXCEPT SELECT * FROM taken)
+UNION ALL SELECT 'either', * FROM (SELECT * FROM played UNION SELECT * FROM taken)
+""")
+def roles_as_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set operations on the roles that moved, and that were taken, in each game."""
+    d = order_games(spark, sf_dir).select("o_orderkey", F.explode(C.move_details("movedata")).alias("d"))
+    played, taken = d.select("o_orderkey", F.col("d.role").alias("role")), d.where("d.capture <> ''").select("o_orderkey", F.col("d.capture").alias("role"))
+    named = lambda name, df: df.select(F.lit(name).alias("what"), "o_orderkey", "role")
+    return named("moved and taken", played.intersect(taken)).unionAll(named("moved only", played.subtract(taken))).unionAll(named("either", played.union(taken).distinct()))
+
+
+@query("""
+WITH g AS (SELECT o_custkey, count(*) AS games, max(o_totalprice) AS best FROM orders WHERE o_orderkey % 8 = 3 GROUP BY o_custkey), e AS (SELECT user_id, count(*) AS events FROM events WHERE event_id % 5 = 0 GROUP BY user_id)
+SELECT coalesce(o_custkey, user_id) AS player, games, events, round(best, 2) AS best FROM g FULL JOIN e ON user_id = o_custkey
+""")
+def players_and_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full outer join of two aggregates: both sides are small rows by the time they are shuffled, already by the join's key."""
+    g = _read(spark, sf_dir, "orders").where("o_orderkey % 8 = 3").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("games"), F.max("o_totalprice").alias("best"))
+    e = _read(spark, sf_dir, "events").where("event_id % 5 = 0").groupBy("user_id").agg(F.count(F.lit(1)).alias("events"))
+    return g.join(e, g.o_custkey == e.user_id, "full").select(F.coalesce("o_custkey", "user_id").alias("player"), "games", "events", F.round("best", 2).alias("best"))
+
+
+@query("""
+WITH band AS (SELECT s_suppkey, s_nationkey, s_acctbal - 300 AS low, s_acctbal + 300 AS high FROM supplier)
+SELECT c_custkey, count(s_suppkey) AS opponents FROM customer LEFT JOIN band ON c_acctbal > low AND c_acctbal < high AND c_nationkey <> s_nationkey GROUP BY c_custkey
+""")
+def opponents_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A theta join by bands: each range falls into the buckets that it overlaps, so the join is an equi-join on buckets with the range as a filter."""
+    width = 600.0
+    bucket = lambda c: F.floor(c / width)
+    s = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", (F.col("s_acctbal") - 300).cast("double").alias("low"), (F.col("s_acctbal") + 300).cast("double").alias("high"))
+    s = s.withColumn("b", F.explode(F.sequence(bucket(F.col("low")), bucket(F.col("high")))))
+    c = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.col("c_acctbal").cast("double").alias("x")).withColumn("b", bucket(F.col("x")))
+    on = (c.b == s.b) & (c.x > s.low) & (c.x < s.high) & (c.c_nationkey != s.s_nationkey)
+    return c.join(s, on, "left").groupBy("c_custkey").agg(F.count("s_suppkey").alias("opponents"))

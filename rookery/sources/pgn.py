@@ -14,7 +14,8 @@ from datetime import datetime
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rookery.functions.bits import EDGE_ROWS, KING, NONE, ONE, PAWN, PAWN_FROM, QUEEN, ROOK, ZERO, Attacks, Positions, U, bit, has, lowest, piece_from
@@ -312,14 +313,43 @@ def from_texts(texts: DataFrame, column: str = "value", level: int = LOW, bad_mo
     return texts.select(F.col(column).alias("value")).mapInPandas(parse, SCHEMA)
 
 
+def pgn_to_movedata(text: Column | str, level: int = LOW, bad_moves: str = "truncate") -> Column:
+    """The compact moves of the one game in each text; null for null and blank texts and for games that can't be stored at this level."""
+    if level not in (LOW, MEDIUM) or bad_moves not in ("truncate", "fail"):
+        raise ValueError("level must be 0 or 1, bad_moves truncate or fail")
+    at = [c.split()[0] for c in SCHEMA.split(", ")].index("movedata")
+
+    @F.arrow_udf(returnType="binary")
+    def convert(texts: pa.Array) -> pa.Array:
+        values = texts.to_pylist()
+        there = [i for i, t in enumerate(values) if t is not None and t.strip()]
+        rows = parse_games([values[i] for i in there], level, bad_moves)
+        if len(rows) < len(there):
+            rows = [(parse_games([values[i]], level, bad_moves) or [None])[0] for i in there]
+        out: list = [None] * len(values)
+        for i, r in zip(there, rows):
+            out[i] = r and r[at]
+        return pa.array(out, pa.binary())
+
+    return convert(F.col(text) if isinstance(text, str) else text)
+
+
 def read_pgn(spark: SparkSession, path: str, level: int = LOW, bad_moves: str = "truncate", min_timestamp: int | None = None) -> DataFrame:
-    """Games of the PGN files under ``path``; ``.zst`` files are unpacked. min_timestamp: seconds; older games are left out, undated ones stay."""
-    if path.endswith(".zst"):
-        texts = spark.read.format("binaryFile").load(path).select("path").mapInPandas(_unpack, "value string")
-    else:
+    """Games of the PGN files under ``path``, plain and ``.zst`` ones side by side. min_timestamp: seconds; older games are left out, undated ones stay.
+
+    Plain files are split among tasks. A ``.zst`` file can't be split and is one task, which unpacks it as a stream from wherever the
+    executors can read it.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    packed = files.where(F.lower("path").endswith(".zst"))
+    n = packed.count()
+    texts = packed.repartition(max(1, min(n, 100_000))).mapInPandas(_unpack, "value string")
+    plain = [path] if not n else [r.path for r in files.where(~F.lower("path").endswith(".zst")).collect()]
+    if plain:
         mark = "\n[Event "
-        lines = spark.read.option("lineSep", mark).text(path)
-        texts = lines.select(F.when(F.ltrim("value").startswith("[") | (F.trim("value") == ""), F.col("value")).otherwise(F.concat(F.lit("[Event "), F.col("value"))).alias("value"))
+        lines = spark.read.option("lineSep", mark).text(plain)
+        split = lines.select(F.when(F.ltrim("value").startswith("[") | (F.trim("value") == ""), F.col("value")).otherwise(F.concat(F.lit("[Event "), F.col("value"))).alias("value"))
+        texts = texts.unionAll(split) if n else split
     games = from_texts(texts, level=level, bad_moves=bad_moves)
     if min_timestamp is not None:
         games = games.where(F.col("utc_timestamp").isNull() | (F.col("utc_timestamp") >= F.timestamp_seconds(F.lit(min_timestamp)).cast("timestamp_ntz")))
@@ -331,10 +361,12 @@ def _unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from urllib.parse import unquote, urlparse
 
     import zstandard
+    from pyarrow import fs
 
     for frame in frames:
         for path in frame["path"]:
-            with open(unquote(urlparse(path).path), "rb") as f:
+            where, name = (fs.LocalFileSystem(), unquote(urlparse(path).path)) if path.startswith("file:") else fs.FileSystem.from_uri(path)
+            with where.open_input_stream(name, compression=None) as f:
                 reader = io.TextIOWrapper(zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True), "utf-8", "replace")
                 games: list[str] = []
                 lines: list[str] = []

@@ -63,6 +63,21 @@ def test_import(spark, folder, name):
     assert rows["Broken"].movedata is None and rows["Broken"].error == "invalid FEN"
 
 
+def test_plain_and_packed_files_side_by_side(spark, folder):
+    both = pgn.read_pgn(spark, str(folder)).groupBy("event").count().collect()
+    assert {r.event: r["count"] for r in both} == dict.fromkeys(("Casual", "Lines", "Ends", "Broken"), 2)
+
+
+@pytest.mark.parametrize("level", [0, 1])
+def test_one_game_as_a_column(spark, level):
+    df = spark.createDataFrame([(1, OPERA), (2, None), (3, " \n"), (4, VARIED), (5, BROKEN), (6, "1. e4 e5 *"), (7, "no game")], "id int, text string")
+    got = {r.id: r for r in df.select("id", pgn.pgn_to_movedata("text", level).alias("m")).select("id", C.compression_level("m").alias("level"), C.try_to_uci("m").alias("uci")).collect()}
+    assert got[1].level == level and got[1].uci.startswith("e2e4 e7e5 g1f3") and got[6].uci == "e2e4 e7e5" and got[4].uci.startswith("e2e4 e7e5 g1f3")
+    assert got[2].uci is None and got[3].uci is None and got[5].uci is None
+    with pytest.raises(ValueError):
+        pgn.pgn_to_movedata("text", 2)
+
+
 def test_options(spark, folder):
     path = str(folder / "a.pgn")
     medium = {r.event: r for r in pgn.read_pgn(spark, path, level=1).select("event", C.compression_level("movedata").alias("level"), C.try_to_pgn("movedata").alias("text")).collect()}
