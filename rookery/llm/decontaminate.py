@@ -9,7 +9,7 @@ of the alignment, where a match counts 1 and a substitution -2, are the verified
 No stretch is missed: one that scores 4 begins with a run of three matches at least, or its score is spent by the
 first substitution; after a run of just three a match must follow the substitution. So ``1111`` or ``11101`` hits it.
 
-The benchmark's seeds are broadcast, in chunks of ``CHUNK_BYTES`` of its text at most; a
+The benchmark's seeds are broadcast, in indexes of ``CHUNK_BYTES`` at most; a
 larger benchmark takes further passes over the corpus, so no executor ever holds more of it.
 """
 
@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frames import col, fresh, table, text_of
-from .words import Words, constants, mix, slices, words
+from .words import Words, constants, count_words, mix, slices, words
 
 #: Every stretch of MIN_STRETCH holds a window of one of these.
 MASKS = ("1111", "11101")
-CHUNK_BYTES = 32 << 20
+#: Bytes of an index at most, but for what a single longer item takes, and the bytes that a word of the benchmark takes in it.
+CHUNK_BYTES = 64 << 20
+WORD_BYTES = 8 + len(MASKS) * (8 + 4 + 4)
 #: A stretch of so many matching words is a leak of itself.
 LONG_RUN = 13
 #: So is any overlap that covers this share of an item, and MIN_COVERED of its words.
@@ -37,7 +39,8 @@ MIN_COVERED = 8
 MIN_ITEM = 5
 #: Least score of a stretch that counts.
 MIN_STRETCH = 4
-_BLOOM_BITS = 22
+#: Bits of the filter for each seed, at least.
+_BLOOM_BITS = 16
 
 
 def _seeds(w: Words, mask: str, number: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,36 +64,45 @@ class Index:
 
     def __init__(self, ids: list, texts: list[str | None]):
         w = words(pa.array(texts, pa.string()))
-        self.ids, self.words = ids, [w.hash[w.first[i] : w.first[i + 1]] for i in range(len(ids))]
-        self.all, self.first, length = w.hash, w.first, w.counts()
-        hashes, items, places = [], [], []
+        self.ids, self.all, self.first, length = ids, w.hash, w.first, w.counts()
+        hashes, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
         for number, mask in enumerate(MASKS):
             at, h = _seeds(w, mask, number)
-            item = np.searchsorted(w.first, at, "right") - 1
-            keep = length[item] >= MIN_ITEM
+            keep = length[np.searchsorted(w.first, at, "right") - 1] >= MIN_ITEM
             hashes.append(h[keep])
-            items.append(item[keep])
-            places.append((at - w.first[item])[keep])
-        h = np.concatenate([*hashes, np.zeros(0, np.uint64)])
+            places.append(at[keep].astype(np.int32))
+        h = np.concatenate(hashes)
+        del hashes
         order = np.argsort(h, kind="stable")
-        self.hash = h[order]
-        self.item, self.place = np.concatenate([*items, np.zeros(0, np.int64)])[order].astype(np.int64), np.concatenate([*places, np.zeros(0, np.int64)])[order].astype(np.int64)
-        self.bloom = np.zeros(1 << _BLOOM_BITS, bool)
-        self.bloom[(self.hash >> np.uint64(64 - _BLOOM_BITS)).astype(np.int64)] = True
+        #: the seeds in order, and where in ``all`` their windows begin
+        self.hash, self.place = h[order], np.concatenate(places)[order]
+        self.bits = max(10, int(len(h) * _BLOOM_BITS - 1).bit_length())
+        self.bloom = np.zeros(1 << (self.bits - 3), np.uint8)
+        name = self.hash >> np.uint64(64 - self.bits)
+        np.bitwise_or.at(self.bloom, (name >> np.uint64(3)).astype(np.int64), np.uint8(1) << (name & np.uint64(7)).astype(np.uint8))
+
+    def item_words(self, i: int) -> np.ndarray:
+        return self.all[self.first[i] : self.first[i + 1]]
+
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.all, self.first, self.hash, self.place, self.bloom))
 
     def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text, item and diagonal (the text's place less the item's) of all hits, distinct."""
         found = []
         for number, mask in enumerate(MASKS):
             at, h = _seeds(w, mask, number)
-            near = self.bloom[(h >> np.uint64(64 - _BLOOM_BITS)).astype(np.int64)]
+            name = h >> np.uint64(64 - self.bits)
+            near = (self.bloom[(name >> np.uint64(3)).astype(np.int64)] >> (name & np.uint64(7)).astype(np.uint8)) & 1 > 0
             at, h = at[near], h[near]
             a, b = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
             times = b - a
             at, a = np.repeat(at, times), np.repeat(a, times)
             which = a + np.arange(len(a)) - np.repeat(np.cumsum(times) - times, times)
             doc = np.searchsorted(w.first, at, "right") - 1
-            found.append(np.stack([doc, self.item[which], at - w.first[doc] - self.place[which]]))
+            place = self.place[which].astype(np.int64)
+            item = np.searchsorted(self.first, place, "right") - 1
+            found.append(np.stack([doc, item, at - w.first[doc] - (place - self.first[item])]))
         hit = np.concatenate(found, axis=1)
         hit = hit[:, np.lexsort(hit[::-1])]
         new = np.ones(hit.shape[1], bool)
@@ -121,15 +133,24 @@ class Index:
 def stretches(same: np.ndarray) -> list[tuple[int, int]]:
     """Disjoint stretches [a, b) of an alignment of scores 1 and -2, best first found from the left, of MIN_STRETCH at least."""
     out, score, start, best, at = [], 0, 0, 0, 0
-    for i, hit in enumerate(same):
-        if score <= 0:
-            score, start, best, at = 0, i, 0, i
-        score += 1 if hit else -2
-        if score > best:
-            best, at = score, i + 1
-        if (score <= 0 or score < best - 6) and best >= MIN_STRETCH:
-            out.append((start, at))
-            score = best = 0
+    # by runs of matches and of substitutions
+    edges = np.flatnonzero(same[1:] != same[:-1]) + 1 if len(same) else np.zeros(0, np.int64)
+    begins = [0, *edges.tolist()] if len(same) else []
+    for a, b, hit in zip(begins, [*begins[1:], len(same)], same[begins].tolist() if begins else []):
+        if hit:
+            if score <= 0:
+                score, start, best = 0, a, 0
+            score += b - a
+            if score > best:
+                best, at = score, b
+        elif score > 0:
+            # after so many substitutions the stretch is over
+            if b - a >= min(-(-score // 2), (score - best + 6) // 2 + 1):
+                if best >= MIN_STRETCH:
+                    out.append((start, at))
+                score = best = 0
+            else:
+                score -= 2 * (b - a)
     if best >= MIN_STRETCH:
         out.append((start, at))
     return out
@@ -159,17 +180,23 @@ def leaks(w: Words, index: Index) -> list[list[tuple]]:
     first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])]))
     for a, b in zip(first, np.append(first[1:], len(doc))):
         d, i = int(doc[a]), int(item[a])
-        n = len(index.words[i])
-        covered, longest = overlap(w.hash[w.first[d] : w.first[d + 1]], index.words[i], diagonal[a:b].tolist())
+        own = index.item_words(i)
+        n = len(own)
+        covered, longest = overlap(w.hash[w.first[d] : w.first[d + 1]], own, diagonal[a:b].tolist())
         if longest >= LONG_RUN or covered >= max(min(MIN_COVERED, n), MIN_SHARE * n):
             out[d].append((index.ids[i], covered / n, float(longest)))
     return out
 
 
 def chunks(benchmark: DataFrame, id_col: str, text_col: str, most: int = CHUNK_BYTES) -> Iterator[Index]:
-    """Indexes of parts of the benchmark, of about ``most`` bytes of text at most each; a longer item is a part by itself."""
+    """Indexes of parts of the benchmark, of about ``most`` bytes each; a longer item is a part by itself."""
+    @F.arrow_udf(returnType="long")
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array(count_words(batch), pa.int64())
+
     slim = benchmark.select(col(id_col).cast("string").alias("i"), text_of(benchmark, text_col).alias("t")).where(F.length(F.trim("t")) > 0).distinct()
-    parts = max(1, -(-int(slim.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // most))
+    parts = max(1, -(-int(slim.agg(F.sum(count("t"))).first()[0] or 0) * WORD_BYTES // most))
     for k in range(parts):
         rows = slim.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k).collect()
         if rows:
@@ -196,7 +223,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """A row (doc_id, item, share, longest) for every document and benchmark item whose overlap is a leak.
 
     Null, empty and wordless texts, on either side, leak nothing; nor do items under
-    ``MIN_ITEM`` words. Repeated documents give repeated rows, repeated items one. An empty benchmark
+    ``MIN_ITEM`` words. A document shorter than an item is searched too: what counts is the share of the item that it has. Repeated documents give repeated rows, repeated items one. An empty benchmark
     or corpus gives no rows. Other columns are left out. Whole texts are searched.
     """
     slim = docs.select(col(id_col).alias("doc_id"), text_of(docs, text_col).alias("text"))

@@ -172,6 +172,8 @@ def test_near_duplicates_odd_rows(spark):
     assert got == {(7, None), (9, None)} or got == {(7, None)}
     left = sorted((str(r.doc_id) for r in N.stage(spark, df, "").collect()))
     assert left.count("7") == 0 and left.count("1") == left.count("2") == left.count("3") == left.count("8") == left.count("None") == 1
+    # the two short prose texts differ by one word of 33, so all are of one group
+    assert got == {(7, None), (9, None)} == {(ODD[i][0], ODD[j][0]) for i, j in brute_groups([t for _, t, _, _ in ODD]) if ODD[i][0] != ODD[j][0] or i < j} - {(7, 7)}
     twice = table(spark, [(1, None, "en", "s"), (1, None, "en", "s"), (2, "x y z", "en", "s"), (2, "x y z", "en", "s"), (2, "other words here", "en", "s")])
     assert ids(N.stage(spark, twice, ""), "doc_id", "text") == sorted([(1, None), (2, "x y z"), (2, "other words here")], key=str)
     assert N.near_duplicates(table(spark, [])).count() == 0 and N.stage(spark, table(spark, []), "").count() == 0
@@ -281,6 +283,38 @@ def test_contamination_odd_rows(spark):
     assert D.contaminated(table(spark, []), bench).count() == 0 and D.contaminated(df, bench.limit(0)).count() == 0 and D.decontaminated(df, bench.limit(0)).count() == len(ODD) + 4
 
 
+def test_stretches_word_by_word():
+    def plain(same):
+        out, score, start, best, at = [], 0, 0, 0, 0
+        for i, hit in enumerate(same):
+            if score <= 0:
+                score, start, best, at = 0, i, 0, i
+            score += 1 if hit else -2
+            if score > best:
+                best, at = score, i + 1
+            if (score <= 0 or score < best - 6) and best >= D.MIN_STRETCH:
+                out.append((start, at))
+                score = best = 0
+        if best >= D.MIN_STRETCH:
+            out.append((start, at))
+        return out
+
+    r = np.random.default_rng(1)
+    for _ in range(3000):
+        same = r.random(r.integers(0, 60)) < r.choice([0.3, 0.6, 0.75, 0.9, 1.0])
+        assert D.stretches(same) == plain(same)
+
+
+def test_short_documents_and_the_size_of_an_index(spark):
+    item = prose(77, 12, 5000)
+    df = table(spark, [(1, " ".join(item.split()[:10]), "en", "s"), (2, " ".join(item.split()[:7]), "en", "s"), (3, item, "en", "s")])
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert ids(D.contaminated(df, bench), "doc_id", "item") == [(1, "1"), (3, "1")]
+    words = 40_000
+    index = D.Index(list(range(100)), [prose(i, words // 100, 10**6) for i in range(100)])
+    assert index.nbytes() <= words * (D.WORD_BYTES + 4) + 10_000
+
+
 # 5: passages
 
 
@@ -324,6 +358,18 @@ def test_passages_by_brute_force(spark, length):
     assert ids(S.repeated(df, length=length), "uid", "start", "end") == brute_spans(rows, length)
 
 
+def test_hot_passages_go_to_no_single_key(spark):
+    line = prose(3, 60, 10**6)
+    rows = [(i, prose(i, 5, 10**6) + " " + line + " " + prose(1000 + i, 5, 10**6)) for i in range(3000)] + [(9000, prose(3, 59, 10**6) + " end"), (9001, line), (9001, line)]
+    df = table(spark, [(i, t, "en", "s") for i, t in rows], extra=False).repartition(4)
+    assert ids(S.repeated(df), "uid", "start", "end") == brute_spans(rows, S.LENGTH)
+    known = S.Known()
+    a, b, unit = np.array([5, 5, 7, 9, 9], np.uint64), np.array([1, 1, 1, 2, 3], np.uint64), np.array([0, 1, 2, 3, 4])
+    assert [x.tolist() for x in known.settle(a, b, unit)] == [[True, True, False, False, False], [0]]
+    # what is known is settled by one unit, and marked once
+    assert [x.tolist() for x in known.settle(a[1:3], b[1:3], unit[1:3])] == [[True, False], []]
+
+
 def test_passages_odd_tables(spark):
     assert S.repeated(table(spark, [])).count() == 0
     one = prose(1, 80, 10**6)
