@@ -13,14 +13,16 @@ into are asked for in more detail, ``DETAIL`` ends at a time, until they meet: t
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, IntegralType, StringType
 
 from .frames import checkpointed, col, fresh, table, text_of
 
@@ -169,9 +171,26 @@ def with_shard(docs: DataFrame, group_col: str, size: Column, shards: int = SHAR
     number = F.lit(0)
     if len(last) > 1 or (last and last[0].shard):
         # shard of a key: that of the first shard whose last key isn't below it
-        keys = F.array(*[F.lit(r.g).cast(docs.schema[group_col].dataType) for r in last])
-        shard = F.array(*[F.lit(int(r.shard)) for r in last])
-        number = F.coalesce(F.get(shard, F.size(F.filter(keys, lambda k: k < col(group_col)))), F.lit(0))
+        shared = docs.sparkSession.sparkContext.broadcast(([r.g for r in last], np.array([*(r.shard for r in last), 0], np.int32)))
+        kind = docs.schema[group_col].dataType
+        if isinstance(kind, (IntegralType, StringType, DateType)):
+
+            @F.arrow_udf(returnType="int")
+            def shard_at(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+                keys, shard = shared.value
+                number = isinstance(kind, IntegralType)
+                ends = np.array(keys, np.int64) if number else keys
+                for batch in batches:
+                    if number:
+                        at = np.searchsorted(ends, pc.fill_null(batch, 0).to_numpy(zero_copy_only=False).astype(np.int64), "left")
+                    else:
+                        at = np.array([0 if k is None else bisect_left(ends, k) for k in batch.to_pylist()], np.int64)
+                    yield pa.array(shard[at])
+
+            number = shard_at(col(group_col))
+        else:
+            keys = F.array(*[F.lit(r.g).cast(kind) for r in last])
+            number = F.coalesce(F.get(F.array(*[F.lit(int(r.shard)) for r in last]), F.size(F.filter(keys, lambda k: k < col(group_col)))), F.lit(0))
         number = F.when(col(group_col).isNull(), F.lit(0)).otherwise(number)
     return docs.withColumn(name, number.cast("int")), name
 
