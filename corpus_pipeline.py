@@ -18,12 +18,16 @@ STAGES = [
     ("sharding", sharding.stage),
 ]
 
-#: BagMinHash and the cube method can't be expressed in SQL; tests hold each stage against a brute-force version.
+#: BagMinHash and the cube method can't be expressed in SQL; tests hold the whole run against a plain version, odd rows included.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each result written to the folder for checkpoints and read again."""
+    """All stages over ``documents``, each result written to the folder for checkpoints and read again.
+
+    Rows with a null, empty or letterless text go at the first stage, and of repeated rows one stays at the second; null ids, labels and sources
+    count as values of their own. Very long texts are worked on whole, and extra columns stay. An empty table gives an empty one with ``shard``.
+    """
     import uuid
 
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4()}"

@@ -68,7 +68,8 @@ def matches(urls: DataFrame, rules: Sequence[str] = RULES) -> DataFrame:
     """(url, rule, allow) for each distinct URL in column ``url`` and each rule that matches it.
 
     Which join the small side of rules and tokens gets is left to the planner, which knows
-    its size. Null URLs match nothing; empty rules are ignored, repeated ones count once.
+    its size. Null and empty URLs match no rule with a token; whole URLs are matched, however long. Of a rule's equally rare tokens the
+    first in order files it, which changes nothing in the result. Empty rules are ignored, repeated ones count once; no URLs or no rules give no rows.
     """
     spark = urls.sparkSession
     lower = urls.where(F.col("url").isNotNull()).select("url").distinct().withColumn("low", F.lower("url"))
