@@ -211,7 +211,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = rf"""
 WITH t AS (
-  SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(coalesce(doc_id::VARCHAR, ''))) <= {ROWS_PER_LABEL} AND lang IS NOT NULL AND text IS NOT NULL AS drawn,
+  SELECT doc_id, lang, row_number() OVER (PARTITION BY lang, text IS NULL ORDER BY md5(coalesce(doc_id::VARCHAR, ''))) <= {ROWS_PER_LABEL} AND lang IS NOT NULL AND text IS NOT NULL AS drawn,
     ' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}]+', ' ', 'g')) || ' ' AS x FROM documents
 ),
 chars AS MATERIALIZED (
