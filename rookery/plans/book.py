@@ -39,12 +39,18 @@ def book(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "number int, body binary, plies int")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than there are cores, dealt to all of them; others as they are. What follows costs far more than moving these rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def order_games(spark: SparkSession, sf_dir: str, *columns: str | Column) -> DataFrame:
     """o_orderkey, number, k (plies), movedata of every order, and further columns of orders."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     o = orders.select("o_orderkey", "o_custkey", *columns).withColumn("number", (F.col("o_orderkey") % len(BOOK)).cast("int"))
     # the book has eight rows, whatever the orders
-    g = o.join(F.broadcast(book(spark)), "number").withColumn("k", (F.col("o_custkey") % (F.col("plies") + 1)).cast("int"))
+    g = spread(o).join(F.broadcast(book(spark)), "number").withColumn("k", (F.col("o_custkey") % (F.col("plies") + 1)).cast("int"))
     kept = [c for c in o.columns if c not in ("number", "o_custkey")]
     return g.select(*kept, "number", "k", F.concat(F.substring("body", F.lit(1), F.col("k") * 2), F.unhex(F.lit("00"))).alias("movedata"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rookery.operators import columns as C
 
-from .book import REPLAY, SQL_FEN_BOARD
+from .book import REPLAY, SQL_FEN_BOARD, spread
 
 #: FEN, moves in text, in bytes, and the legal replies to each.
 STUDIES = [
@@ -30,7 +30,7 @@ def study_games(spark: SparkSession, sf_dir: str) -> DataFrame:
     studies = spark.createDataFrame(rows, "number int, fen string, body binary, plies int")
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey").withColumn("number", (F.col("o_orderkey") % len(STUDIES)).cast("int"))
     # a handful of studies, whatever the orders
-    g = o.join(F.broadcast(studies), "number").withColumn("k", (F.col("o_custkey") % (F.col("plies") + 1)).cast("int"))
+    g = spread(o).join(F.broadcast(studies), "number").withColumn("k", (F.col("o_custkey") % (F.col("plies") + 1)).cast("int"))
     return g.select("o_orderkey", "k", F.concat(F.substring("body", F.lit(1), F.col("k") * 2), F.unhex(F.lit("00"))).alias("movedata"), "fen")
 
 
