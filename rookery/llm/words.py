@@ -38,7 +38,7 @@ def constants(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(seed)) | np.uint64(1)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS["up"]) < n:
         size = max(n, SLICE_BYTES + 4096)
         for key, base in (("up", _BASE), ("down", _INVERSE)):
@@ -114,7 +114,7 @@ def words(column: pa.Array) -> Words:
 
 def spans(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A hash of each stretch of bytes, the same wherever it stands."""
-    up, down = _powers(len(raw))
+    up, down = powers(len(raw))
     total = np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], dtype=np.uint64)
     h = total[end - 1] - np.where(begin > 0, total[begin - 1], np.uint64(0))
     return mix(h * down[begin])
