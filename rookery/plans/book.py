@@ -40,9 +40,10 @@ def book(spark: SparkSession) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scan with fewer splits than there are cores, dealt to all of them; others as they are. What follows costs far more than moving these rows."""
+    """A scan of fewer files than there are cores, dealt to all of them; others as they are. What follows costs far more than moving these rows."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    # only their number leaves the JVM
+    return df.repartition(cores) if len(df._jdf.inputFiles()) < cores else df
 
 
 def order_games(spark: SparkSession, sf_dir: str, *columns: str | Column) -> DataFrame:

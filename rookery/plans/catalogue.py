@@ -413,9 +413,9 @@ def players_and_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH band AS (SELECT s_suppkey, s_nationkey, s_acctbal - 300 AS low, s_acctbal + 300 AS high FROM supplier)
-SELECT c_custkey, count(s_suppkey) AS opponents FROM customer LEFT JOIN band ON c_acctbal > low AND c_acctbal < high AND c_nationkey <> s_nationkey GROUP BY c_custkey
+SELECT c_custkey, count(s_suppkey) AS rivals FROM customer LEFT JOIN band ON c_acctbal > low AND c_acctbal < high AND c_nationkey <> s_nationkey GROUP BY c_custkey
 """)
-def opponents_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rivals_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A theta join by bands: each range falls into the buckets that it overlaps, so the join is an equi-join on buckets with the range as a filter."""
     width = 600.0
     bucket = lambda c: F.floor(c / width)
@@ -423,4 +423,4 @@ def opponents_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = s.withColumn("b", F.explode(F.sequence(bucket(F.col("low")), bucket(F.col("high")))))
     c = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.col("c_acctbal").cast("double").alias("x")).withColumn("b", bucket(F.col("x")))
     on = (c.b == s.b) & (c.x > s.low) & (c.x < s.high) & (c.c_nationkey != s.s_nationkey)
-    return c.join(s, on, "left").groupBy("c_custkey").agg(F.count("s_suppkey").alias("opponents"))
+    return c.join(s, on, "left").groupBy("c_custkey").agg(F.count("s_suppkey").alias("rivals"))
