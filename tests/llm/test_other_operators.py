@@ -3,12 +3,15 @@
 import base64
 import gzip
 import hashlib
+import io
 import itertools
 import json
 import math
 import random
 import re
+import zlib
 from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +83,20 @@ def test_shards_odd_tables(spark):
         SH.with_shard(text, "g", F.col("n"), 0)
 
 
+@pytest.mark.parametrize("kind", ["long", "string", "date", "timestamp", "decimal(9,2)", "double"])
+def test_shards_of_keys_of_any_kind(spark, kind):
+    key = {"string": F.concat(F.lit("k"), F.lpad(F.col("id").cast("string"), 4, "0")), "date": F.date_add(F.lit("2020-01-01"), F.col("id").cast("int")), "timestamp": F.timestamp_seconds(F.col("id") * 7)}.get(kind, F.col("id").cast(kind))
+    df = spark.range(200).select(F.when(F.col("id") != 77, key).alias("g"), (F.col("id") % 9).alias("n"), "id").repartition(4)
+    out, name = SH.with_shard(df, "g", F.col("n"), 12)
+    order = sorted(out.collect(), key=lambda r: (r.g is not None, r.id))
+    numbers = [r[name] for r in order]
+    assert numbers == sorted(numbers) and numbers[0] == 0
+    loads = {}
+    for r in order:
+        loads[r[name]] = loads.get(r[name], 0) + r.n
+    assert max(loads.values()) == brute_capacity([r.n for r in order], 12)
+
+
 # 6: mixing
 
 
@@ -138,6 +155,10 @@ def test_mix_odd_rows(spark):
     assert got.count() == len(ODD) - 1 and ids(got, "uid", "selected") == ids(M.sampled(df.repartition(3)), "uid", "selected")
     assert {(r.uid, r.words) for r in got.collect()} >= {(1, 0), (2, 0), (8, 300_000)}
     assert M.sampled(table(spark, [])).count() == 0 and M.stage(spark, table(spark, []), "").count() == 0
+    clash = df
+    for c in ("probability", "selected", "words", "block", "blocks", "h", "p", "b_source", "all"):
+        clash = clash.withColumn(c, F.lit(c))
+    assert ids(M.sampled(clash), "uid", "selected") == ids(got, "uid", "selected") and M.stage(spark, clash, "").columns == clash.columns
     none = M.sampled(df, {"t": 1.0})
     assert {r.uid for r in none.where("selected").collect()} == {9}
 
@@ -187,6 +208,47 @@ def test_warc_round_trip(spark, tmp_path):
         assert h["warc-refers-to"] == "<urn:uuid:1>" and h["warc-date"] == "2020-01-02T03:04:05Z" and block.decode() == r.content and h["warc-block-digest"] == r.block_digest
 
 
+def test_warc_reader_survives_damage(spark, tmp_path):
+    def record(i, http, body, kind="response", length=None):
+        block = http + body
+        return b"WARC/1.1\r\nWARC-Type: %s\r\nWARC-Record-ID: <%d>\r\nWARC-IP-Address: 1.2.3.4\r\nWARC-Truncated: length\r\nContent-Length: %s\r\n\r\n" % (kind.encode(), i, str(len(block)).encode() if length is None else length) + block + b"\r\n\r\n"
+
+    plain = b"HTTP/1.1 200 OK\r\n\r\n"
+    zipped = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=iso-8859-1\r\nContent-Encoding: gzip\r\n\r\n"
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Encoding: deflate\r\n\r\n"
+    flat = zlib.compress(b"deflated " * 50)
+    chunks = b"%x;x=y\r\n" % 10 + flat[:10] + b"\r\n%X\r\n" % len(flat[10:]) + flat[10:] + b"\r\n0\r\n\r\n"
+    good = [record(1, plain, b"one"), record(2, zipped, gzip.compress("zwei ä".encode("latin-1"))), record(3, chunked, chunks), record(4, b"HTTP/1.1 200 OK\r\nContent-Encoding: br\r\n\r\n", b"?"), record(5, plain, b"big " * 700_000)]
+    want = {"<1>": "one", "<2>": "zwei ä", "<3>": "deflated " * 50, "<4>": "", "<5>": "big " * 700_000}
+    cases = {
+        "whole.warc": (b"".join(good), want, {"encoding br"}),
+        "number.warc": (good[0] + record(7, plain, b"x", length=b"many") + good[1], {k: want[k] for k in ("<1>", "<2>")}, {"length that is no number", "bytes between records"}),
+        "header.warc": (good[0] + b"WARC/1.1\r\nWARC-Type: response\r\nContent-Le", {"<1>": "one"}, {"header without an end", "bytes between records"}),
+        "cut.warc": (good[0] + record(8, plain, b"longer", length=b"99999"), {"<1>": "one"}, {"cut block", "bytes between records"}),
+        "cut.warc.gz": (gzip.compress(good[0]) + gzip.compress(good[1])[:-20], {"<1>": "one"}, {"cut gzip", "cut block", "header without an end", "bytes between records"}),
+        "damaged.warc.gz": (gzip.compress(good[0]) + gzip.compress(good[1])[:60] + b"\xff" * 40 + gzip.compress(good[2]) + gzip.compress(good[4]), {k: want[k] for k in ("<1>", "<3>", "<5>")}, {"damaged gzip", "cut block", "header without an end", "bytes between records"}),
+        "noise.warc": (b"no archive at all", {}, {"bytes between records"}),
+        "empty.warc": (b"", {}, set()),
+    }
+    for name, (data, _, _) in cases.items():
+        (tmp_path / name).write_bytes(data)
+    got, faults = {}, {}
+    for r in WA.read_responses(spark, str(tmp_path), all_headers=True).collect():
+        got.setdefault(r.source_id.rpartition("/")[2], {})[r.record_id] = r.payload
+        assert r.warc_headers["warc-ip-address"] == "1.2.3.4" and r.warc_headers["warc-truncated"] == "length" and r.payload_digest.startswith("sha1:")
+    for r in WA.malformed(spark, str(tmp_path)).collect():
+        faults.setdefault(r.source_id.rpartition("/")[2], set()).add(r.fault)
+    for name, (_, records, allowed) in cases.items():
+        assert got.get(name, {}) == records and faults.get(name, set()) <= allowed and bool(allowed) == bool(faults.get(name)), name
+    meta = WA.derivatives(WA.read_responses(spark, str(tmp_path / "whole.warc"), all_headers=True).where("record_id = '<1>'")).where("warc_type = 'metadata'").first()
+    assert json.loads(meta.content)["WARC-Headers"]["warc-truncated"] == "length"
+    # at any size of the reads the same records
+    for size in (1, 7, 64):
+        source = io.BytesIO(gzip.compress(good[0]) + gzip.compress(good[1]) + gzip.compress(good[2]))
+        slow = SimpleNamespace(read=lambda n, source=source, size=size: source.read(min(n, size)))
+        assert [h["warc-record-id"] for h, _ in WA.parse_records(slow)] == ["<1>", "<2>", "<3>"]
+
+
 # 7: URLs
 
 
@@ -235,6 +297,39 @@ def test_neighbours_recall_and_odd_rows(spark):
     assert NN.nearest(df.limit(0)).count() == 0 and NN.nearest(df.where("vec_id < 2"), k=5).count() == 2 and NN.nearest(df.where("vec_id = 3")).count() == 0
 
 
+def test_neighbours_ties_and_dimensions(spark):
+    rows = [(i, [1.0, 0.0, 0.0]) for i in range(40, 0, -1)] + [(100 + i, [float(i == j) for j in range(300)]) for i in range(3)] + [(200, [0.0] * 299 + [2.0])]
+    got = {}
+    for g in NN.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(7), k=4).orderBy("vec_id", F.desc("similarity"), "neighbour").collect():
+        got.setdefault(g.vec_id, []).append(g.neighbour)
+    # of many equal ones those with the least ids
+    assert got[30] == [1, 2, 3, 4] and got[2] == [1, 3, 4, 5]
+    # vectors of another dimension are searched among themselves
+    assert got[100] == [101, 102, 200] and set(got) == {*range(1, 41), 100, 101, 102, 200}
+
+
+def test_groups_of_cells_and_parts_agree(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    middle = r.standard_normal((40, 24))
+    x = middle[r.integers(0, 40, 2000)] + 0.4 * r.standard_normal((2000, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    q = np.repeat(u[:50], 10, axis=0)
+    near = u[np.argsort(-(u[:50] @ u.T), axis=1)[:, 1:11].ravel()]
+    # near neighbours need fewer probes than those of random vectors, and a larger table finer cells
+    tables, functions, count = NN.choice(q, near, 2000, 16)
+    assert NN.choice(q, near, 10**9, 16)[1] > functions and (NN.ranks(q, near, tables, functions).min(axis=0) <= count).mean() >= NN.RECALL
+    for chosen in ((3, 1, 4), (2, 2, 5)):
+        monkeypatch.setattr(NN, "choice", lambda *a, chosen=chosen: chosen)
+        want = None
+        for group, task in ((25_000, 250_000), (100, 250_000), (20, 10)):
+            monkeypatch.setattr(NN, "GROUP_ROWS", group)
+            monkeypatch.setattr(NN, "TASK_ROWS", task)
+            found = {(g.vec_id, g.neighbour): g.similarity for g in NN.nearest(df).collect()}
+            assert want is None or found == want
+            want = found
+
+
 def test_recall_with_finer_cells(spark, monkeypatch):
     monkeypatch.setattr(NN, "CELL_ROWS", 40)
     r = np.random.default_rng(2)
@@ -367,6 +462,57 @@ def test_model_beats_counts_on_held_out_text(spark):
     assert mass.max() < 1.001 and P.score(m, v, ids_, first).sum() > plain + 0.3 * len(ids_)
 
 
+def test_gradients_within_classes_are_right():
+    r = np.random.default_rng(3)
+    ids_ = r.integers(0, 40, (4, 9))
+    v = P.Vocabulary(np.where(np.arange(60) < 40, np.arange(60) % 7 + 1, 0), 60, 5)
+    m = P.start(classes=5, embedded=v.rows, d=8, hidden=8, window=9)
+    m["i"] = (r.standard_normal(m["i"].shape) * 0.5).astype(np.float32)
+    ids_[0, :3] = [45, 59, 41]  # ids that don't occur
+    rows, real = P._inputs(v, ids_, np.ones((4, 9), bool), v.rows), np.ones((4, 9), bool)
+    real[2, 6:] = False
+    g, _ = P.gradients(m, rows, v.kind[ids_], real, v, ids_)
+    for k in m:
+        for i in [np.unravel_index(j, g[k].shape) for j in np.argsort(-np.abs(g[k]), axis=None)[:3]]:
+            old, loss = m[k][i], []
+            for h in (0.005, -0.005):
+                m[k][i] = old + h
+                loss.append(P.gradients(m, rows, v.kind[ids_], real, v, ids_)[1])
+            m[k][i] = old
+            assert abs((loss[0] - loss[1]) / 0.01 - g[k][i]) < 0.1 * abs(g[k][i]) + 1e-3
+
+
+def test_probabilities_of_all_ids_sum_to_one():
+    r = np.random.default_rng(4)
+    v = P.Vocabulary(np.where(np.arange(90) < 70, r.integers(1, 30, 90), 0), 50, 6)
+    m = P.start(classes=6, embedded=50)
+    m["i"] = r.standard_normal(m["i"].shape).astype(np.float32)
+    context = r.integers(0, 90, 5).astype(np.int32)
+    total = 0.0
+    for x in range(90):
+        both = P.score(m, v, np.append(context, x).astype(np.int32), np.array([0, 6])) - P.score(m, v, context, np.array([0, 5]))
+        total += math.exp(both[0])
+    assert abs(total - 1) < 1e-3
+
+
+def test_model_beats_a_bigram_on_held_out_text(spark):
+    docs = spark.read.parquet(str(SF.parent / "sf0.01/documents.parquet"))
+    m, v = P.fit(docs.where("doc_id % 5 > 0"))
+    parts = [P.encode(pa.array(docs.where(f"doc_id % 5 {op} 0").toPandas().text), P.VOCABULARY) for op in (">", "=")]
+    size = len(v.row)
+    pairs = [np.stack([np.where(np.isin(np.arange(len(x)), first), size, np.append(size, x[:-1])), x]) for x, first in parts]
+    seen, seen_pairs = np.bincount(parts[0][0], minlength=size), {}
+    for a, b in pairs[0].T.tolist():
+        seen_pairs[a, b] = seen_pairs.get((a, b), 0) + 1
+    after, kinds = np.bincount(pairs[0][0], minlength=size + 1), np.bincount([a for a, _ in seen_pairs], minlength=size + 1)
+    a, b = pairs[1]
+    both = np.array([seen_pairs.get(x, 0) for x in zip(a.tolist(), b.tolist())])
+    plain = (seen[b] + 1) / (seen.sum() + size)
+    bigram = np.log((both + kinds[a] * plain + 1e-9) / (after[a] + kinds[a] + 1e-9 / plain)).mean()
+    mine = P.score(m, v, *parts[1]).sum() / len(parts[1][0])
+    assert mine > bigram > np.log(plain).mean() + 1
+
+
 # all
 
 
