@@ -73,4 +73,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of fewer files than there are cores is dealt to all of them, since what follows costs far more than moving its rows."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    # only their number leaves the JVM
+    return df.repartition(cores) if len(df._jdf.inputFiles()) < cores else df
