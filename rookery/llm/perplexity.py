@@ -2,7 +2,7 @@
 
 Texts are cut into subword ids by a public byte-level vocabulary, once; the ids are kept for training and scoring.
 The model, in numpy, has one block of masked self-attention and a hidden layer over embeddings of ids and places. Its
-output is factored: a softmax over classes of about equal mass, given the context, times a softmax over the
+output is factored: a softmax over classes of ids of like frequency, given the context, times a softmax over the
 class's ids, given the context too. The latter begins as the ids' shares of their class, so training starts from the
 unigram. Ids are counted over the whole corpus; every id that occurs has an embedding and an output vector of
 its own, those that don't occur share one.
@@ -38,10 +38,10 @@ WINDOW, STRIDE = 32, 24
 #: One of so many blocks of windows trains; 1: all.
 TRAIN_EVERY = 1
 #: Windows that one trainer gets in a round, about, and those of a block.
-TRAINER_WINDOWS, BLOCK_WINDOWS = 131_072, 64
-ROUNDS, RATE = 2, 0.02
+TRAINER_WINDOWS, BLOCK_WINDOWS = 32_768, 64
+ROUNDS, RATE = 4, 0.02
 #: Windows of a step at most; fewer, down to the chunk's half, where a trainer's windows would make fewer steps than that.
-BATCH, STEPS = 512, 256
+BATCH, STEPS = 512, 128
 #: Windows that go through the layers at a time.
 CHUNK = 64
 #: Models that are averaged at once.
@@ -165,8 +165,10 @@ class Vocabulary:
         self.row = np.full(len(counts), last, np.int32)
         self.row[order[:last]] = np.arange(last)
         smooth = counts[order].astype(np.float64) + 1
-        mass = np.cumsum(smooth) - smooth / 2
-        kind = np.minimum((mass / smooth.sum() * classes).astype(np.int64), classes - 1)
+        # of classes with equal sums of roots an id has the fewest others in its class, on average
+        mass = np.cumsum(np.sqrt(smooth[:occurring]))
+        kind = np.full(len(counts), classes - 1)
+        kind[:occurring] = np.minimum(((mass - np.sqrt(smooth[:occurring]) / 2) / mass[-1:].sum() * classes).astype(np.int64), classes - 1)
         total = np.bincount(kind, weights=smooth, minlength=classes)
         self.kind, self.share = np.zeros(len(counts), np.int32), np.zeros(len(counts), np.float32)
         self.kind[order] = kind
