@@ -11,7 +11,9 @@ a probability of their weighted Jaccard similarity. Points later than all compon
 minima can't matter, so a bag needs about ``m log m`` points, however large it is.
 
 Signatures are banded; bags that share a band are candidates, and the overlap of their
-whole bags is computed before they count as duplicates.
+whole bags is computed before they count as duplicates. Pairs of a bag and the least one of its bucket are verified by their texts;
+those across the components of a bucket, of which there may be as many as the square of its bags, by products of matrices, to which
+every bag is sent once for each block of its bucket.
 """
 
 from __future__ import annotations
@@ -33,7 +35,10 @@ BAND_ROWS = 4
 SIGN_ROWS = 256
 #: Least weighted Jaccard similarity of two near duplicates.
 THRESHOLD = 0.55
+#: Bags of a bucket that are compared with as many others in one group, bags of one product, and its columns at most.
+BLOCK, TILE, COLUMNS = 2048, 256, 16_384
 _POINT, _WHERE, _NEXT = constants(3, 77)
+_AGAIN = constants(1, 78)[0]
 _LOW, _MASK = np.uint64(44), np.uint64((1 << 44) - 1)
 _UNSET = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -178,6 +183,82 @@ def words_bags(texts: pa.Array, k: int) -> list[np.ndarray]:
     return out
 
 
+def elements(texts: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
+    """The bag of each text as a set: a shingle that occurs w times gives w elements, the same ones in every text, so that sets overlap as bags do."""
+    out = []
+    for bag in words_bags(texts, k):
+        first = np.flatnonzero(np.concatenate([[True], bag[1:] != bag[:-1]])) if len(bag) else np.zeros(0, np.int64)
+        again = (np.arange(len(bag)) - np.repeat(first, np.diff(np.append(first, len(bag))))).astype(np.uint64)
+        out.append(np.where(again > 0, mix(bag + again * _AGAIN), bag))
+    return out
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Jaccard similarities of all sets of a with all of b."""
+    m, n = [np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b)]
+    item, at = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    row = np.concatenate([np.repeat(np.arange(len(a)), m), np.repeat(np.arange(len(b)), n)])
+    right = np.arange(len(at)) >= m.sum()
+    # only what both sides have can be common
+    shared = (np.bincount(at[~right], minlength=len(item)) > 0) & (np.bincount(at[right], minlength=len(item)) > 0)
+    kept = np.flatnonzero(shared[at])
+    kept = kept[np.argsort(at[kept], kind="stable")]
+    column, row, right = (np.cumsum(shared) - 1)[at[kept]], row[kept], right[kept]
+    common = np.zeros((len(a), len(b)))
+    for begin in range(0, int(shared.sum()), COLUMNS):
+        part = slice(*np.searchsorted(column, [begin, begin + COLUMNS]))
+        c, r, side = column[part] - begin, row[part], right[part]
+        x, y = np.zeros((len(a), int(c[-1]) + 1), np.float32), np.zeros((len(b), int(c[-1]) + 1), np.float32)
+        x[r[~side], c[~side]] = 1
+        y[r[side], c[side]] = 1
+        common += x @ y.T
+    return common / np.maximum(m[:, None] + n[None, :] - common, 1)
+
+
+def _across(buckets: DataFrame, texts: DataFrame, threshold: float, k: int) -> DataFrame:
+    """Pairs (a, b) of roots, of a forest for each two blocks, that connect the components of every bucket (key, node, root) as all its similar pairs do; texts: (node, text)."""
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.tobytes() for x in elements(batch.column("text"), k)], pa.binary())], names=["node", "bag"])
+
+    def compare(key: tuple, group: pa.Table) -> pa.Table:
+        block, root = group.column("block").to_numpy(), group.column("root").to_numpy()
+        order = np.lexsort((root, block))
+        block, root = block[order], root[order]
+        bag = [np.frombuffer(x, np.uint64) for x in group.column("bag").take(pa.array(order)).to_pylist()]
+        low, high = np.flatnonzero(block == key[1].as_py()), np.flatnonzero(block == key[2].as_py())
+        to: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (up := to.get(x, x)) != x:
+                to[x] = x = to.get(up, up)
+            return x
+
+        out = []
+        for i in range(0, len(low), TILE):
+            mine = low[i : i + TILE]
+            for j in range(i if key[1] == key[2] else 0, len(high), TILE):
+                other = high[j : j + TILE]
+                # by root within a block, so a tile has one root if its ends do
+                if root[mine[0]] == root[mine[-1]] == root[other[0]] == root[other[-1]]:
+                    continue
+                x, y = np.nonzero(overlaps([bag[r] for r in mine], [bag[r] for r in other]) >= threshold)
+                both = np.sort(np.stack([root[mine[x]], root[other[y]]], axis=1), axis=1)
+                for a, b in np.unique(both[both[:, 0] != both[:, 1]], axis=0).tolist():
+                    if (a_ := top(a)) != (b_ := top(b)):
+                        to[b_] = a_
+                        out.append((a, b))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    left = checkpointed(buckets.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("key").orderBy("root", "node")) - 1) / BLOCK)))
+    spans = left.groupBy("key", "block").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    met = spans.alias("x").join(spans.alias("y"), "key").where("x.block <= y.block AND x.low <> y.high").select("key", F.col("x.block").alias("i"), F.col("y.block").alias("j"))
+    sent = met.withColumn("block", F.explode(F.array_distinct(F.array("i", "j")))).join(left, ["key", "block"])
+    own = checkpointed(texts.join(left.select("node").distinct(), "node").select("node", "text").mapInArrow(coded, "node long, bag binary"))
+    return checkpointed(sent.join(own, "node").groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct())
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """node, root: the least node of each connected component of edges (a, b). Nodes without edges aren't listed.
 
@@ -236,12 +317,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band
     label = components(spark, edges)
     rooted = buckets.join(label, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    left = checkpointed(rooted.join(mixed, "key"))
-    cross = left.alias("x").join(left.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root"))).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    tried = buckets.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    more = verified(cross.join(tried, ["a", "b"], "left_anti"))
+    more = _across(rooted.join(mixed, "key"), texts, threshold, k)
     if more.limit(1).count():
-        label = components(spark, edges.select("a", "b").unionAll(more.select("a", "b")))
+        label = components(spark, edges.select("a", "b").unionAll(more))
 
     grouped = members.join(label, "node", "left").select("uid", "uhash", F.coalesce("root", "node").alias("root")).distinct()
     stays = grouped.groupBy("root").agg(F.min(F.struct("uid", "uhash")).alias("s"), F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -203,6 +203,52 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100, 200: 150, 150: 150}
 
 
+def test_overlaps_by_brute_force(monkeypatch):
+    r = random.Random(3)
+    texts = [" ".join(r.choice("abcd") for _ in range(r.choice([0, 1, 2, 9, 60]))) for _ in range(40)]
+    sets = N.elements(pa.array(texts))
+    for columns in (N.COLUMNS, 7):
+        monkeypatch.setattr(N, "COLUMNS", columns)
+        got = N.overlaps(sets[:25], sets[25:])
+        assert all(got[i, j] == (brute_similarity(texts[i], texts[25 + j]) if texts[i] and texts[25 + j] else 0) for i in range(25) for j in range(15))
+
+
+def test_components_of_a_bucket_by_brute_force(spark, monkeypatch):
+    r = random.Random(4)
+    texts = [" ".join(prose(g % 12, 30).split()[: 14 + r.randrange(16)]) for g in range(60)]
+    # some are of one component already
+    rows = [(key, i, i % 24 if key else i) for key in (0, 1, 2) for i in range(60) if key < 2 or i % 2]
+    buckets, df = spark.createDataFrame(rows, "key long, node long, root long"), spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    pairs = [(i, j) for i, j in itertools.combinations(range(60), 2) if brute_similarity(texts[i], texts[j]) >= N.THRESHOLD]
+
+    def classes(edges):
+        parent = list(range(60))
+        for _ in range(60):
+            for a, b in edges:
+                parent[a] = parent[b] = min(parent[a], parent[b])
+        return parent
+
+    known = [(i % 24, i) for i in range(60)]
+    want = classes(known + pairs)
+    assert 1 < len(set(want)) < 24
+    for block, tile in ((N.BLOCK, N.TILE), (7, 3), (1, 1)):
+        monkeypatch.setattr(N, "BLOCK", block)
+        monkeypatch.setattr(N, "TILE", tile)
+        assert classes(known + [tuple(x) for x in N._across(buckets, df, N.THRESHOLD, N.SHINGLE).collect()]) == want
+
+
+def test_a_bucket_of_unlike_texts_sends_no_text_for_each_pair(spark, monkeypatch):
+    # a shingle that repeats gives all these a band in common; each is like its own copy alone
+    docs = [" ".join(["round"] * 60 + [f"w{i}x{k}" for k in range(70)] + ["again"] * (i >= 150)) for i in [*range(150), *(150 + i for i in range(150))]]
+    docs[150:] = [d.replace(f"w{150 + i}x", f"w{i}x") for i, d in enumerate(docs[150:])]
+    sent = []
+    own = N._similar
+    monkeypatch.setattr(N, "_similar", lambda left, *a: sent.append(left.count()) or own(left, *a))
+    df = table(spark, [(i, t, "en", "s") for i, t in enumerate(docs)])
+    assert set(ids(N.near_duplicates(df), "doc_id", "kept_id")) == {(150 + i, i) for i in range(150)}
+    assert sum(sent) <= N.BANDS * len(docs)
+
+
 # 4: decontamination
 
 
