@@ -193,6 +193,26 @@ def test_all_references_are_decoded_once(spark):
     assert pages.where("content rlike '&(copy|middot);'").count() == 0 < pages.where("content like '%©%·%'").count()
 
 
+def test_references_are_all_that_differs_from_the_sql(spark, tmp_path, monkeypatch):
+    import duckdb
+    import pyarrow.parquet as pq
+
+    def seven(x):
+        for name, to in WA._ENTITIES:
+            x = F.replace(x, F.lit(name), F.lit(to))
+        return x
+
+    monkeypatch.setattr(WA, "_decoded", seven)
+    odd = [f"<title>t {c}</title><p>a {c}</p><p> b {c}" for c in "\u2028\u2029\x85\x0b\xa0\r\x01\t\U0001f600"] + [None, "", "a < b > c <p", "<script>a</style>b</script>c", "&amp;lt; &copy;", '<A\nHREF="">e</a>\n']
+    (tmp_path / "odd").mkdir()
+    pq.write_table(pa.table({"page_id": pa.array([None, *range(1, len(odd))], pa.int64()), "url": ["u", None, *["http://é/\"\\"] * (len(odd) - 2)], "html": odd}), tmp_path / "odd/pages.parquet")
+    for at in (SF, tmp_path / "odd"):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW pages AS SELECT * FROM '{at}/pages.parquet'")
+        want = con.sql(WA.SQL)
+        assert sorted(tuple(map(str, r)) for r in WA.op3_warc(spark, str(at)).select(want.columns).collect()) == sorted(tuple(map(str, r)) for r in want.fetchall())
+
+
 def test_warc_round_trip(spark, tmp_path):
     body = "<title>é</title>hällo".encode()
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
