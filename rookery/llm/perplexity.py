@@ -208,25 +208,25 @@ def _mask(n: int) -> np.ndarray:
     return np.tril(np.ones((n, n), np.float32))
 
 
-def hidden(m: dict[str, np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, ...]:
-    """All that is computed up to the last layer, which comes last, at every place of windows of rows."""
+def hidden(m: dict[str, np.ndarray], rows: np.ndarray, skip: int = 0) -> tuple[np.ndarray, ...]:
+    """All that is computed up to the last layer, which comes last, at every place of windows of rows; skip: of the first places only what later ones attend to."""
     b, n = rows.shape
     d = m["p"].shape[1]
     x = m["e"][rows]
     x += m["p"][:n]
     both = (x.reshape(-1, d) @ m["qkv"]).reshape(b, n, 3 * d)
-    q, k, v = both[:, :, :d], both[:, :, d : 2 * d], both[:, :, 2 * d :]
+    q, k, v = both[:, skip:, :d], both[:, :, d : 2 * d], both[:, :, 2 * d :]
     q *= np.float32(d**-0.5)
     s = q @ k.transpose(0, 2, 1)
     # the mask: later places get no weight
     np.minimum(s, np.float32(60), out=s)
     np.exp(s, out=s)
-    s *= _mask(n)
+    s *= _mask(n)[skip:]
     total = s.sum(axis=2, keepdims=True)
     y = s @ v
     y /= total
     h = y.reshape(-1, d) @ m["o"]
-    h += x.reshape(-1, d)
+    h += x[:, skip:].reshape(-1, d)
     r = h @ m["w1"]
     r += m["b1"]
     np.maximum(r, 0, out=r)
@@ -261,15 +261,15 @@ def inside(m: dict[str, np.ndarray], v: Vocabulary, z: np.ndarray, ids: np.ndarr
     for c in np.flatnonzero((np.diff(edges) > 0) & (v.high - v.low > 1)):
         here, rows = slice(edges[c], edges[c + 1]), slice(v.low[c], v.high[c])
         s = z[here] @ m["i"][rows].T
-        at = np.arange(len(s)), place[here]
-        own = s[at]
+        at = np.arange(0, s.size, s.shape[1]) + place[here]
+        own = s.ravel()[at]
         s += v.mass[c]
         p = _exp(s)
         total = p @ _ones(p.shape[1])
         found[here] = own - np.log(total)
         if w is not None:
             p *= (w[here] / total)[:, None]
-            p[at] -= w[here]
+            p.ravel()[at] -= w[here]
             g["i"][rows] += p.T @ z[here]
             np.matmul(p, m["i"][rows], out=slope[here])
     if w is not None:
@@ -419,24 +419,24 @@ def score(m: dict[str, np.ndarray], v: Vocabulary, ids: np.ndarray, first: np.nd
     """Sum of the log probabilities of each text's ids, each scored once."""
     doc, begin, size, seen = _windows(first, window, stride)
     out = np.zeros(len(first) - 1)
-    # full windows and short ones apart, so that short texts don't pay for padding
-    order = np.argsort(size, kind="stable")
+    # full windows and short ones apart, so that short texts don't pay for padding, and first ones and others, which skip what is scored before
+    order = np.lexsort((seen, size))
     for t in range(0, len(order), batch):
         layer, target, log, whose = [], [], [], []
         for pick in np.split(order[t : t + batch], range(CHUNK, batch, CHUNK)):
             if not len(pick):
                 continue
-            n = int(size[pick[-1]])
+            n, skip = int(size[pick[-1]]), int(seen[pick].min())
             tokens, real = _gather(ids, begin[pick], size[pick], n)
-            z = hidden(m, _inputs(v, tokens, real, len(m["e"]) - 1))[-1]
+            z = hidden(m, _inputs(v, tokens, real, len(m["e"]) - 1), skip)[-1]
             # only the places that this window scores
-            which = np.flatnonzero(real & (np.arange(n) >= seen[pick][:, None]))
-            z, own = z[which], tokens.ravel()[which]
+            which = np.flatnonzero((real & (np.arange(n) >= seen[pick][:, None]))[:, skip:])
+            z, own = z if len(which) == len(z) else z[which], tokens[:, skip:].ravel()[which]
             logits = z @ m["u"]
             logits += m["c"]
             log.append(logits[np.arange(len(own)), v.kind[own]])
             log[-1] -= np.log(_exp(logits) @ _ones(logits.shape[1]))
-            layer.append(z), target.append(own), whose.append(doc[pick][which // n])
+            layer.append(z), target.append(own), whose.append(doc[pick][which // (n - skip)])
         got = np.concatenate(log) + inside(m, v, np.concatenate(layer), np.concatenate(target))
         out += np.bincount(np.concatenate(whose), weights=got, minlength=len(out))
     return out

@@ -459,6 +459,23 @@ def test_each_id_is_scored_once_under_a_causal_mask():
     assert abs(total - 8) < 1e-3
 
 
+def test_places_scored_before_are_not_computed_again(monkeypatch):
+    r = np.random.default_rng(9)
+    v = P.Vocabulary(np.bincount(r.integers(0, 50, 400), minlength=60), 60, 6)
+    m = P.start(classes=6, embedded=v.rows)
+    ids_, first = r.integers(0, 50, 2000).astype(np.int32), np.array([0, 1700, 1700, 1720, 1760, 2000])
+    rows = r.integers(0, v.rows, (5, P.WINDOW))
+    z = P.hidden(m, rows)[-1].reshape(5, P.WINDOW, -1)
+    assert np.allclose(P.hidden(m, rows, 8)[-1], z[:, 8:].reshape(-1, z.shape[2]), atol=1e-5)
+    places = []
+    monkeypatch.setattr(P, "CHUNK", 4)
+    monkeypatch.setattr(P, "hidden", lambda *a, own=P.hidden: places.append(own(*a)) or places[-1])
+    got = P.score(m, v, ids_, first)
+    # few more than are scored: those of the chunk in which first and later windows meet, and padding
+    assert len(ids_) <= sum(len(x[-1]) for x in places) < len(ids_) * 1.25
+    assert np.allclose(P.score(m, v, ids_, first, batch=1), got, rtol=1e-5)
+
+
 def test_encoder_is_lossless_and_remembers():
     e = P.tokenizer(P.VOCABULARY)
     texts = ["Hello  wörld\n\n x 12ab!!", "", None, " lead and trail ", "日本語 text", "a" * 5000, "Hello  wörld\n\n x 12ab!!"]
