@@ -416,6 +416,31 @@ def test_hot_passages_go_to_no_single_key(spark):
     assert [x.tolist() for x in known.settle(a[1:3], b[1:3], unit[1:3])] == [[True, False], []]
 
 
+def test_texts_without_a_shared_anchor_are_not_shuffled(spark, monkeypatch):
+    r = random.Random(8)
+    long = lambda n: " ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=20)) for _ in range(n))
+    line = long(60)
+    rows = [(i, long(2000)) for i in range(40)] + [(50, line + " " + long(20)), (None, long(9) + " " + line), (None, None)]
+    df = table(spark, [(i, t, "en", "s") for i, t in rows], extra=False)
+    sc = spark.sparkContext
+    sc.setJobGroup("passages", "")
+    try:
+        found = ids(S.repeated(df), "uid", "start", "end")
+    finally:
+        sc._jsc.clearJobGroup()
+    assert found == brute_spans(rows, S.LENGTH)
+    stages = {k for j in sc.statusTracker().getJobIdsForGroup("passages") for k in sc.statusTracker().getJobInfo(j).stageIds}
+    store = sc._jsc.sc().statusStore()
+    written = sum(x.shuffleWriteBytes() for x in map(store.lastStageAttempt, stages) if x.status().toString() == "COMPLETE")
+    # anchors and windows are; the texts were, twice
+    assert 0 < written < sum(len(t or "") for _, t in rows) / 2
+    # a filter that is too small lets more through to the join, and loses nothing
+    monkeypatch.setattr(S, "FILTER_BITS", 64)
+    units = df.select(F.col("doc_id").alias("uid"), F.lit(5).cast("long").alias("uhash")).where("uid = 50 OR uid IS NULL")
+    assert [x[0] for x in S._among(spark.createDataFrame([(4,), (5,), (69,)], "uhash long"), units).collect()] == [5, 69]
+    assert ids(S.repeated(df), "uid", "start", "end") == found
+
+
 def test_passages_odd_tables(spark):
     assert S.repeated(table(spark, [])).count() == 0
     one = prose(1, 80, 10**6)
