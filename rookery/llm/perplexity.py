@@ -212,7 +212,7 @@ def hidden(m: dict[str, np.ndarray], rows: np.ndarray, skip: int = 0) -> tuple[n
     """All that is computed up to the last layer, which comes last, at every place of windows of rows; skip: of the first places only what later ones attend to."""
     b, n = rows.shape
     d = m["p"].shape[1]
-    x = m["e"][rows]
+    x = m["e"].take(rows, axis=0)
     x += m["p"][:n]
     both = (x.reshape(-1, d) @ m["qkv"]).reshape(b, n, 3 * d)
     q, k, v = both[:, skip:, :d], both[:, :, d : 2 * d], both[:, :, 2 * d :]
@@ -240,11 +240,18 @@ def forward(m: dict[str, np.ndarray], rows: np.ndarray) -> np.ndarray:
     return hidden(m, rows)[-1] @ m["u"] + m["c"]
 
 
-def _exp(x: np.ndarray) -> np.ndarray:
-    np.minimum(x, np.float32(80), out=x)
+def _exp(x: np.ndarray, most: float = np.inf) -> np.ndarray:
+    """The exponentials, in place, of numbers of ``most`` at most; what may overflow is cut."""
+    if not most <= 80:
+        np.minimum(x, np.float32(80), out=x)
     return np.exp(x, out=x)
 
 
+def _longest(x: np.ndarray) -> float:
+    """Length of the longest row: no product of rows is above that of their lengths."""
+    return float(np.sqrt(np.einsum("ij,ij->i", x, x).max(initial=0)))
+
+
 def inside(m: dict[str, np.ndarray], v: Vocabulary, z: np.ndarray, ids: np.ndarray, w: np.ndarray | None = None, g: dict[str, np.ndarray] | None = None, dz: np.ndarray | None = None) -> np.ndarray:
     """Log probability of each id in its class, given the last layer.
 
@@ -253,8 +260,10 @@ def inside(m: dict[str, np.ndarray], v: Vocabulary, z: np.ndarray, ids: np.ndarr
     kind = v.kind[ids].astype(np.int16)
     order = np.argsort(kind, kind="stable")
     edges = np.searchsorted(kind[order], np.arange(v.classes + 1))
-    # class by class
-    z, place = z[order], v.row[ids[order]] - v.low[kind[order]]
+    # no log mass is above 0
+    most = _longest(z) * _longest(m["i"])
+    # class by class; take moves whole rows faster than an index
+    z, place = z.take(order, axis=0), v.row[ids[order]] - v.low[kind[order]]
     found = np.zeros(len(ids), np.float32)
     if w is not None:
         w, slope = w[order], np.zeros_like(z)
@@ -264,7 +273,7 @@ def inside(m: dict[str, np.ndarray], v: Vocabulary, z: np.ndarray, ids: np.ndarr
         at = np.arange(0, s.size, s.shape[1]) + place[here]
         own = s.ravel()[at]
         s += v.mass[c]
-        p = _exp(s)
+        p = _exp(s, most)
         total = p @ _ones(p.shape[1])
         found[here] = own - np.log(total)
         if w is not None:
@@ -273,7 +282,9 @@ def inside(m: dict[str, np.ndarray], v: Vocabulary, z: np.ndarray, ids: np.ndarr
             g["i"][rows] += p.T @ z[here]
             np.matmul(p, m["i"][rows], out=slope[here])
     if w is not None:
-        dz[order] += slope
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        dz += slope.take(back, axis=0)
     out = v.share[ids]
     out[order] += found
     return out
@@ -293,7 +304,7 @@ def gradients(m: dict[str, np.ndarray], rows: np.ndarray, kinds: np.ndarray, rea
         g[key][...] = 0
     kinds, w = kinds.ravel(), real.ravel().astype(np.float32)
     w /= max(float(w.sum()), 1.0)
-    kept, loss = [], 0.0
+    kept, loss, widest, highest = [], 0.0, _longest(m["u"].T), float(m["c"].max())
     z, dz = np.empty((b * n, d), np.float32), np.empty((b * n, d), np.float32)
     # few windows at a time, so that what they need stays in the caches
     for begin in range(0, b, CHUNK):
@@ -304,7 +315,7 @@ def gradients(m: dict[str, np.ndarray], rows: np.ndarray, kinds: np.ndarray, rea
         p += m["c"]
         target = np.arange(len(p)), kinds[at]
         own = p[target]
-        _exp(p)
+        _exp(p, _longest(x[-1]) * widest + highest)
         total = p @ _ones(p.shape[1])
         loss -= float(((own - np.log(total)) * w[at]).sum())
         p *= (w[at] / total)[:, None]
@@ -418,7 +429,7 @@ def _inputs(v: Vocabulary, ids: np.ndarray, real: np.ndarray, embedded: int) ->
 def score(m: dict[str, np.ndarray], v: Vocabulary, ids: np.ndarray, first: np.ndarray, window: int = WINDOW, stride: int = STRIDE, batch: int = BATCH) -> np.ndarray:
     """Sum of the log probabilities of each text's ids, each scored once."""
     doc, begin, size, seen = _windows(first, window, stride)
-    out = np.zeros(len(first) - 1)
+    out, widest, highest = np.zeros(len(first) - 1), _longest(m["u"].T), float(m["c"].max())
     # full windows and short ones apart, so that short texts don't pay for padding, and first ones and others, which skip what is scored before
     order = np.lexsort((seen, size))
     for t in range(0, len(order), batch):
@@ -431,11 +442,11 @@ def score(m: dict[str, np.ndarray], v: Vocabulary, ids: np.ndarray, first: np.nd
             z = hidden(m, _inputs(v, tokens, real, len(m["e"]) - 1), skip)[-1]
             # only the places that this window scores
             which = np.flatnonzero((real & (np.arange(n) >= seen[pick][:, None]))[:, skip:])
-            z, own = z if len(which) == len(z) else z[which], tokens[:, skip:].ravel()[which]
+            z, own = z if len(which) == len(z) else z.take(which, axis=0), tokens[:, skip:].ravel()[which]
             logits = z @ m["u"]
             logits += m["c"]
             log.append(logits[np.arange(len(own)), v.kind[own]])
-            log[-1] -= np.log(_exp(logits) @ _ones(logits.shape[1]))
+            log[-1] -= np.log(_exp(logits, _longest(z) * widest + highest) @ _ones(logits.shape[1]))
             layer.append(z), target.append(own), whose.append(doc[pick][which // (n - skip)])
         got = np.concatenate(log) + inside(m, v, np.concatenate(layer), np.concatenate(target))
         out += np.bincount(np.concatenate(whose), weights=got, minlength=len(out))

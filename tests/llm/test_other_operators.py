@@ -441,6 +441,25 @@ def test_gradients_are_right():
         assert abs((loss[0] - loss[1]) / 0.02 - g[k][i]) < 0.05 * abs(g[k][i]) + 1e-3
 
 
+def test_numbers_that_cannot_overflow_are_not_cut():
+    x = np.array([[90.0, -3.0], [100.0, 2.0]], np.float32)
+    assert np.isfinite(P._exp(x.copy())).all() and np.isfinite(P._exp(x.copy(), 100.0)).all() and np.isfinite(P._exp(x.copy(), np.nan)).all()
+    low = x - np.float32(50)
+    assert (P._exp(low.copy(), 50.0) == P._exp(low.copy())).all()
+    # the bound holds for any rows, and scores stay finite beyond it
+    r = np.random.default_rng(3)
+    a, b = (r.standard_normal((40, 16)).astype(np.float32) * 9 for _ in range(2))
+    assert (a @ b.T).max() <= P._longest(a) * P._longest(b) and P._longest(a[:0]) == 0
+    counts = np.zeros(300, np.int64)
+    counts[:200] = np.arange(200, 0, -1)
+    v = P.Vocabulary(counts, classes=4)
+    m = P.cut(P.start(4), v)
+    m["i"] += r.standard_normal(m["i"].shape).astype(np.float32) * 100
+    m["u"] *= 100
+    ids = r.integers(0, 200, 90).astype(np.int32)
+    assert np.isfinite(P.score(m, v, ids, np.array([0, 70, 90]))).all()
+
+
 def test_each_id_is_scored_once_under_a_causal_mask():
     ids_ = np.random.default_rng(0).integers(0, 200, 150).astype(np.int32)
     first = np.array([0, 0, 1, 33, 150])
