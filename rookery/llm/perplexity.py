@@ -44,6 +44,8 @@ ROUNDS, RATE = 4, 0.02
 BATCH, STEPS = 512, 128
 #: Windows that go through the layers at a time.
 CHUNK = 64
+#: Rows whose products are summed at a time.
+SUMMED = 256
 #: Models that are averaged at once.
 FAN_IN = 16
 #: Slots for pieces whose ids a worker remembers, and ids that it remembers at most.
@@ -149,11 +151,17 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return tokenizer(path).encode(texts)
 
 
+def _short(x: np.ndarray) -> np.ndarray:
+    """Whole numbers from 0 on in 16 bits, if they fit, which sort fastest."""
+    return x.astype(np.uint16 if x.max(initial=0) < 65535 else np.int64)
+
+
 class Vocabulary:
     """Row of the embedding, class, and log share of its class, by id; from counts of all ids.
 
     Rows go by frequency, and classes are stretches of rows: class c has the rows from ``low[c]`` to ``high[c]``, of log
     masses ``mass[c]`` within it. Ids that don't occur, and those past ``embedded``, share the last row, of which each class has its ids' part.
+    All classes' rows one after the other are ``rows_of``, of shares ``part``; class c begins at ``edge[c]``, and ``spot`` is an id's place there.
     """
 
     def __init__(self, counts: np.ndarray, embedded: int = EMBEDDED, classes: int | None = None):
@@ -178,6 +186,14 @@ class Vocabulary:
         self.low = np.where(inside.any(axis=1), inside.argmax(axis=1), 0)
         self.high = self.low + inside.sum(axis=1)
         self.mass = [np.log(part[c, a:b] / total[c]).astype(np.float32) for c, (a, b) in enumerate(zip(self.low, self.high))]
+        self.part = np.exp(np.concatenate(self.mass))
+        self.edge = np.concatenate([[0], np.cumsum(self.high - self.low)])
+        self.rows_of = np.concatenate([np.arange(a, b) for a, b in zip(self.low, self.high)])
+        self.spot = _short(self.edge[self.kind] + self.row - self.low[self.kind])
+        self.plain = bool((self.rows_of == np.arange(len(self.rows_of))).all())
+        # places of classes of one row, if there are any
+        single = np.repeat(np.diff(self.edge) == 1, np.diff(self.edge))
+        self.alone = single if single.any() else None
 
 
 def start(classes: int = CLASSES, embedded: int = EMBEDDED, d: int = WIDTH, hidden: int = HIDDEN, window: int = WINDOW) -> dict[str, np.ndarray]:
@@ -208,21 +224,28 @@ def _mask(n: int) -> np.ndarray:
     return np.tril(np.ones((n, n), np.float32))
 
 
-def hidden(m: dict[str, np.ndarray], rows: np.ndarray, skip: int = 0) -> tuple[np.ndarray, ...]:
-    """All that is computed up to the last layer, which comes last, at every place of windows of rows; skip: of the first places only what later ones attend to."""
+def _scaled(qkv: np.ndarray) -> np.ndarray:
+    """These weights, or their gradient, with those of queries divided by the root of the width."""
+    d = len(qkv)
+    out = qkv.copy()
+    out[:, :d] *= np.float32(d**-0.5)
+    return out
+
+
+def hidden(m: dict[str, np.ndarray], rows: np.ndarray, skip: int = 0, qkv: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """All that is computed up to the last layer, which comes last, at every place of windows of rows; skip: of the first places only what later ones attend to; qkv: the scaled weights, if they are at hand."""
     b, n = rows.shape
     d = m["p"].shape[1]
     x = m["e"].take(rows, axis=0)
     x += m["p"][:n]
-    both = (x.reshape(-1, d) @ m["qkv"]).reshape(b, n, 3 * d)
+    both = (x.reshape(-1, d) @ (_scaled(m["qkv"]) if qkv is None else qkv)).reshape(b, n, 3 * d)
     q, k, v = both[:, skip:, :d], both[:, :, d : 2 * d], both[:, :, 2 * d :]
-    q *= np.float32(d**-0.5)
-    s = q @ k.transpose(0, 2, 1)
+    s = q @ _turned(k)
     # the mask: later places get no weight
     np.minimum(s, np.float32(60), out=s)
     np.exp(s, out=s)
     s *= _mask(n)[skip:]
-    total = s.sum(axis=2, keepdims=True)
+    total = (s.reshape(-1, n) @ _ones(n)).reshape(b, -1, 1)
     y = s @ v
     y /= total
     h = y.reshape(-1, d) @ m["o"]
@@ -240,8 +263,22 @@ def forward(m: dict[str, np.ndarray], rows: np.ndarray) -> np.ndarray:
     return hidden(m, rows)[-1] @ m["u"] + m["c"]
 
 
+def _turned(x: np.ndarray) -> np.ndarray:
+    """A copy of each matrix with rows and columns exchanged; for narrow ones copy and product take less time than the product alone."""
+    return np.ascontiguousarray(x.transpose(0, 2, 1))
+
+
+def _summed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x.T @ y, by blocks of rows, as a product of narrow matrices takes half the time while its sums are short."""
+    n = len(x) - len(x) % SUMMED
+    out = x[n:].T @ y[n:]
+    if n:
+        out += (x[:n].reshape(-1, SUMMED, x.shape[1]).transpose(0, 2, 1) @ y[:n].reshape(-1, SUMMED, y.shape[1])).sum(axis=0)
+    return out
+
+
 def _exp(x: np.ndarray, most: float = np.inf) -> np.ndarray:
-    """The exponentials, in place, of numbers of ``most`` at most; what may overflow is cut."""
+    """The exponentials, in place, of numbers of ``most`` at most; what may overflow, if summed, is cut."""
     if not most <= 80:
         np.minimum(x, np.float32(80), out=x)
     return np.exp(x, out=x)
@@ -249,39 +286,50 @@ def _exp(x: np.ndarray, most: float = np.inf) -> np.ndarray:
 
 def _longest(x: np.ndarray) -> float:
     """Length of the longest row: no product of rows is above that of their lengths."""
-    return float(np.sqrt(np.einsum("ij,ij->i", x, x).max(initial=0)))
+    return float(np.sqrt(((x * x) @ _ones(x.shape[1])).max(initial=0)))
 
 
-def inside(m: dict[str, np.ndarray], v: Vocabulary, z: np.ndarray, ids: np.ndarray, w: np.ndarray | None = None, g: dict[str, np.ndarray] | None = None, dz: np.ndarray | None = None) -> np.ndarray:
-    """Log probability of each id in its class, given the last layer.
+def inside(m: dict[str, np.ndarray], v: Vocabulary, z: np.ndarray, ids: np.ndarray, w: np.ndarray | None = None, g: dict[str, np.ndarray] | None = None, dz: np.ndarray | None = None, most: float = np.inf) -> np.ndarray:
+    """Log probability of each id in its class, given the last layer; most: what no product of it and the vectors exceeds.
 
     With weights w, the gradients of the mean loss are added to g["i"] and dz; of weight 0 are places without an id.
     """
-    kind = v.kind[ids].astype(np.int16)
-    order = np.argsort(kind, kind="stable")
-    edges = np.searchsorted(kind[order], np.arange(v.classes + 1))
-    # no log mass is above 0
-    most = _longest(z) * _longest(m["i"])
-    # class by class; take moves whole rows faster than an index
-    z, place = z.take(order, axis=0), v.row[ids[order]] - v.low[kind[order]]
-    found = np.zeros(len(ids), np.float32)
-    if w is not None:
-        w, slope = w[order], np.zeros_like(z)
-    for c in np.flatnonzero((np.diff(edges) > 0) & (v.high - v.low > 1)):
-        here, rows = slice(edges[c], edges[c + 1]), slice(v.low[c], v.high[c])
-        s = z[here] @ m["i"][rows].T
-        at = np.arange(0, s.size, s.shape[1]) + place[here]
-        own = s.ravel()[at]
-        s += v.mass[c]
-        p = _exp(s, most)
-        total = p @ _ones(p.shape[1])
-        found[here] = own - np.log(total)
+    spot = v.spot[ids]
+    order = np.argsort(spot, kind="stable")
+    spot = spot[order]
+    edges = np.searchsorted(spot, v.edge.astype(spot.dtype)).tolist()
+    classes = [(slice(a, b), slice(c, d)) for a, b, c, d in zip(edges, edges[1:], v.edge.tolist(), v.edge[1:].tolist()) if b > a]
+    vectors = m["i"][: len(v.part)] if v.plain else m["i"].take(v.rows_of, axis=0)
+    z, mine = z.take(order, axis=0), vectors.take(spot, axis=0)
+    one, total, scores = _ones(z.shape[1]), np.empty(len(ids), np.float32), []
+    found = (z * mine) @ one
+    # class by class only what can't be done for all at once; shares and weights go with the vectors, which have fewer numbers than the scores
+    for here, rows in classes:
+        p = _exp(z[here] @ vectors[rows].T, most)
+        np.matmul(p, v.part[rows], out=total[here])
         if w is not None:
-            p *= (w[here] / total)[:, None]
-            p.ravel()[at] -= w[here]
-            g["i"][rows] += p.T @ z[here]
-            np.matmul(p, m["i"][rows], out=slope[here])
+            scores.append(p)
+    found -= np.log(total)
+    if v.alone is not None:
+        found[v.alone[spot]] = 0
     if w is not None:
+        w = w[order]
+        weighed, turn, slope = z * (w / total)[:, None], np.zeros_like(vectors), np.empty_like(z)
+        shared = vectors * v.part[:, None]
+        for p, (here, rows) in zip(scores, classes):
+            np.matmul(p.T, weighed[here], out=turn[rows])
+            np.matmul(p, shared[rows], out=slope[here])
+        turn *= v.part[:, None]
+        slope *= (w / total)[:, None]
+        mine *= w[:, None]
+        slope -= mine
+        z *= w[:, None]
+        where = _runs(spot)
+        turn[spot[where]] -= np.add.reduceat(z, where, axis=0)
+        if v.plain:
+            g["i"][: len(turn)] += turn
+        else:
+            np.add.at(g["i"], v.rows_of, turn)
         back = np.empty_like(order)
         back[order] = np.arange(len(order))
         dz += slope.take(back, axis=0)
@@ -290,6 +338,17 @@ def inside(m: dict[str, np.ndarray], v: Vocabulary, z: np.ndarray, ids: np.ndarr
     return out
 
 
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where the runs of equal numbers begin."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+
+
+def _output(m: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, float]:
+    """Of the classes: what is added to their scores, 0 at most; its exponentials; and the length of their longest vector."""
+    add = np.maximum(m["c"] - m["c"].max(), np.float32(-60))
+    return add, np.exp(add), _longest(m["u"].T)
+
+
 @lru_cache(maxsize=4096)
 def _ones(n: int) -> np.ndarray:
     return np.ones(n, np.float32)
@@ -304,53 +363,62 @@ def gradients(m: dict[str, np.ndarray], rows: np.ndarray, kinds: np.ndarray, rea
         g[key][...] = 0
     kinds, w = kinds.ravel(), real.ravel().astype(np.float32)
     w /= max(float(w.sum()), 1.0)
-    kept, loss, widest, highest = [], 0.0, _longest(m["u"].T), float(m["c"].max())
+    kept, loss, longest, (add, grown, widest), qkv = [], 0.0, [], _output(m), _scaled(m["qkv"])
+    turned = m["u"].T * grown[:, None]
     z, dz = np.empty((b * n, d), np.float32), np.empty((b * n, d), np.float32)
     # few windows at a time, so that what they need stays in the caches
     for begin in range(0, b, CHUNK):
-        x = hidden(m, rows[begin : begin + CHUNK])
+        x = hidden(m, rows[begin : begin + CHUNK], 0, qkv)
         at = slice(begin * n, begin * n + len(x[-1]))
         z[at] = x[-1]
         p = x[-1] @ m["u"]
-        p += m["c"]
-        target = np.arange(len(p)), kinds[at]
-        own = p[target]
-        _exp(p, _longest(x[-1]) * widest + highest)
-        total = p @ _ones(p.shape[1])
+        kind = kinds[at]
+        target = np.arange(0, p.size, p.shape[1]) + kind
+        own = p.ravel()[target] + add[kind]
+        longest.append(_longest(x[-1]))
+        _exp(p, longest[-1] * widest)
+        total = p @ grown
         loss -= float(((own - np.log(total)) * w[at]).sum())
-        p *= (w[at] / total)[:, None]
-        p[target] -= w[at]
-        g["u"] += x[-1].T @ p
-        g["c"] += _ones(len(p)) @ p
-        np.matmul(p, m["u"].T, out=dz[at])
+        p.ravel()[target] -= total / grown[kind]
+        # weights go with the layer, which has fewer numbers than the scores
+        share = w[at] / total
+        g["u"] += _summed(x[-1] * share[:, None], p)
+        g["c"] += share @ p
+        np.matmul(p, turned, out=dz[at])
+        dz[at] *= share[:, None]
         kept.append((at, x[:-1]))
+    g["u"] *= grown
+    g["c"] *= grown
     if voc is not None:
-        loss -= float((inside(m, voc, z, ids.ravel(), w, g, dz) * w).sum())
+        loss -= float((inside(m, voc, z, ids.ravel(), w, g, dz, max(longest) * _longest(m["i"])) * w).sum())
     for at, (x, q, k, v, s, total, y, h, r) in kept:
         dh = dz[at]
-        g["w2"] += r.T @ dh
+        g["w2"] += _summed(r, dh)
         da = dh @ m["w2"].T
         da *= r > 0
-        g["w1"] += h.T @ da
+        g["w1"] += _summed(h, da)
         g["b1"] += _ones(len(da)) @ da
         dh += da @ m["w1"].T
-        g["o"] += y.reshape(-1, d).T @ dh
+        g["o"] += _summed(y.reshape(-1, d), dh)
         dy = (dh @ m["o"].T).reshape(y.shape)
         dy /= total
         both = np.empty((*y.shape[:2], 3 * d), np.float32)
         np.matmul(s.transpose(0, 2, 1), dy, out=both[:, :, 2 * d :])
-        ds = dy @ v.transpose(0, 2, 1)
-        ds -= np.einsum("bij,bij->bi", dy, y)[:, :, None]
+        ds = dy @ _turned(v)
+        ds -= ((dy * y).reshape(-1, d) @ _ones(d)).reshape(len(y), -1, 1)
         ds *= s
         np.matmul(ds, k, out=both[:, :, :d])
-        both[:, :, :d] *= np.float32(d**-0.5)
         np.matmul(ds.transpose(0, 2, 1), q, out=both[:, :, d : 2 * d])
         both = both.reshape(-1, 3 * d)
-        g["qkv"] += x.reshape(-1, d).T @ both
-        dh += both @ m["qkv"].T
+        g["qkv"] += _summed(x.reshape(-1, d), both)
+        dh += both @ qkv.T
         g["p"][:n] += dh.reshape(y.shape).sum(0)
-    where = (rows.reshape(-1, 1) * np.int64(d) + np.arange(d)).ravel()
-    g["e"][:] = np.bincount(where, weights=dz.ravel(), minlength=m["e"].size).reshape(m["e"].shape)
+    g["qkv"][:] = _scaled(g["qkv"])
+    # sums by row, in its order
+    rows = _short(rows.ravel())
+    order = np.argsort(rows, kind="stable")
+    where = _runs(rows := rows[order])
+    g["e"][rows[where]] = np.add.reduceat(dz.take(order, axis=0), where, axis=0)
     return g, loss
 
 
@@ -373,16 +441,15 @@ def train(m: dict[str, np.ndarray], voc: Vocabulary, tokens: np.ndarray, real: n
         part = slice(t * batch, (t + 1) * batch)
         ids = tokens[part]
         gradients(now, _inputs(voc, ids, real[part], len(m["e"]) - 1), voc.kind[ids], real[part], voc, ids, slope)
+        # means of ten gradients and of a hundred squares, as sums: their factors are in the pace
         pace = np.float32(rate * (1 - t / steps) * np.sqrt(1 - 0.99 ** (t + 1)) / (1 - 0.9 ** (t + 1)))
         first *= np.float32(0.9)
-        np.multiply(g, np.float32(0.1), out=room)
-        first += room
+        first += g
         np.multiply(g, g, out=g)
-        g *= np.float32(0.01)
         second *= np.float32(0.99)
         second += g
         np.sqrt(second, out=room)
-        room += np.float32(1e-6)
+        room += np.float32(1e-5)
         np.divide(first, room, out=room)
         room *= pace
         p -= room
@@ -415,6 +482,8 @@ def _windows(first: np.ndarray, window: int, stride: int) -> tuple[np.ndarray, n
 
 def _gather(ids: np.ndarray, begin: np.ndarray, size: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     at = begin[:, None] + np.arange(window)
+    if (size == window).all():
+        return ids[at], np.ones(at.shape, bool)
     real = np.arange(window) < size[:, None]
     return np.where(real, ids[np.minimum(at, len(ids) - 1)], 0), real
 
@@ -422,34 +491,40 @@ def _gather(ids: np.ndarray, begin: np.ndarray, size: np.ndarray, window: int) -
 def _inputs(v: Vocabulary, ids: np.ndarray, real: np.ndarray, embedded: int) -> np.ndarray:
     """Rows of the ids before each place; the window's first place has the start mark."""
     rows = np.full(ids.shape, embedded, np.int32)
-    rows[:, 1:] = np.where(real[:, :-1], v.row[ids[:, :-1]], embedded)
+    rows[:, 1:] = v.row[ids[:, :-1]] if real.all() else np.where(real[:, :-1], v.row[ids[:, :-1]], embedded)
     return rows
 
 
 def score(m: dict[str, np.ndarray], v: Vocabulary, ids: np.ndarray, first: np.ndarray, window: int = WINDOW, stride: int = STRIDE, batch: int = BATCH) -> np.ndarray:
     """Sum of the log probabilities of each text's ids, each scored once."""
     doc, begin, size, seen = _windows(first, window, stride)
-    out, widest, highest = np.zeros(len(first) - 1), _longest(m["u"].T), float(m["c"].max())
+    out, farthest, (add, grown, widest) = np.zeros(len(first) - 1), _longest(m["i"]), _output(m)
+    qkv = _scaled(m["qkv"])
     # full windows and short ones apart, so that short texts don't pay for padding, and first ones and others, which skip what is scored before
     order = np.lexsort((seen, size))
     for t in range(0, len(order), batch):
-        layer, target, log, whose = [], [], [], []
+        layer, target, log, longest = [], [], [], []
         for pick in np.split(order[t : t + batch], range(CHUNK, batch, CHUNK)):
             if not len(pick):
                 continue
             n, skip = int(size[pick[-1]]), int(seen[pick].min())
             tokens, real = _gather(ids, begin[pick], size[pick], n)
-            z = hidden(m, _inputs(v, tokens, real, len(m["e"]) - 1), skip)[-1]
-            # only the places that this window scores
-            which = np.flatnonzero((real & (np.arange(n) >= seen[pick][:, None]))[:, skip:])
-            z, own = z if len(which) == len(z) else z.take(which, axis=0), tokens[:, skip:].ravel()[which]
-            logits = z @ m["u"]
-            logits += m["c"]
-            log.append(logits[np.arange(len(own)), v.kind[own]])
-            log[-1] -= np.log(_exp(logits, _longest(z) * widest + highest) @ _ones(logits.shape[1]))
-            layer.append(z), target.append(own), whose.append(doc[pick][which // (n - skip)])
-        got = np.concatenate(log) + inside(m, v, np.concatenate(layer), np.concatenate(target))
-        out += np.bincount(np.concatenate(whose), weights=got, minlength=len(out))
+            z = hidden(m, _inputs(v, tokens, real, len(m["e"]) - 1), skip, qkv)[-1]
+            own = tokens[:, skip:].ravel()
+            if int(size[pick[0]]) < n or int(seen[pick].max()) > skip:
+                # only the places that this window scores
+                which = np.flatnonzero((real & (np.arange(n) >= seen[pick][:, None]))[:, skip:])
+                z, own = z.take(which, axis=0), own[which]
+            kind, logits = v.kind[own], z @ m["u"]
+            log.append(logits.ravel()[np.arange(0, logits.size, logits.shape[1]) + kind] + add[kind])
+            longest.append(_longest(z))
+            log[-1] -= np.log(_exp(logits, longest[-1] * widest) @ grown)
+            layer.append(z), target.append(own)
+        got = np.concatenate(log) + inside(m, v, np.concatenate(layer), np.concatenate(target), most=max(longest) * farthest)
+        # every window scores some ids
+        now = order[t : t + batch]
+        many = size[now] - seen[now]
+        out += np.bincount(doc[now], weights=np.add.reduceat(got, np.cumsum(many) - many, dtype=np.float64), minlength=len(out))
     return out
 
 

@@ -562,6 +562,72 @@ def test_gradients_within_classes_are_right():
             assert abs((loss[0] - loss[1]) / 0.01 - g[k][i]) < 0.1 * abs(g[k][i]) + 1e-3
 
 
+@pytest.mark.parametrize("counts, embedded", [(np.arange(400, 0, -1), 500), (np.array([9000, 300, 20, 9, 5, 3, 2, 1]), 500), (np.arange(90, 0, -1), 50)])
+def test_training_and_scores_agree_with_a_plain_version(counts, embedded):
+    # classes of one row, and of rows that several classes share, are among them
+    r = np.random.default_rng(11)
+    v = P.Vocabulary(np.append(counts, np.zeros(20, np.int64)), embedded, 6)
+    m = P.cut(P.start(6), v)
+    m |= {"i": r.standard_normal(m["i"].shape).astype(np.float32), "c": (r.standard_normal(6) * 3 - 40).astype(np.float32)}
+    ids_, real = r.integers(0, len(counts) + 20, (70, P.WINDOW)).astype(np.int32), np.ones((70, P.WINDOW), bool)
+    real[3, 9:] = False
+    rows, kinds, w = P._inputs(v, ids_, real, len(m["e"]) - 1), v.kind[ids_], real.ravel() / real.sum()
+    g, loss = P.gradients(m, rows, kinds, real, v, ids_)
+    z, kinds, at = P.hidden(m, rows)[-1].astype(np.float64), kinds.ravel(), np.arange(ids_.size)
+    p = np.exp(z @ m["u"] + m["c"])
+    p /= p.sum(axis=1, keepdims=True)
+    log, du, di, dz = np.log(p[at, kinds]), p.copy(), np.zeros(m["i"].shape), np.zeros_like(z)
+    du[at, kinds] -= 1
+    du *= w[:, None]
+    for x, (kind, row) in enumerate(zip(kinds, v.row[ids_.ravel()])):
+        own = slice(v.low[kind], v.high[kind])
+        q = np.exp(m["i"][own] @ z[x] + v.mass[kind])
+        q /= q.sum()
+        log[x] += np.log(q[row - v.low[kind]]) - v.mass[kind][row - v.low[kind]] + v.share[ids_.ravel()[x]]
+        q[row - v.low[kind]] -= 1
+        di[own] += w[x] * q[:, None] * z[x]
+        dz[x] = w[x] * q @ m["i"][own]
+    assert abs(loss + (log * w).sum()) < 1e-3
+    got, want = P.inside(m, v, z.astype(np.float32), ids_.ravel(), w.astype(np.float32), {"i": np.zeros_like(m["i"])}, inner := np.zeros(z.shape, np.float32)), dz
+    assert np.isfinite(got).all() and np.allclose(inner, want, atol=1e-6)
+    for key, right in {"i": di, "u": z.T @ du, "c": du.sum(axis=0)}.items():
+        assert np.allclose(g[key], right, atol=1e-5 + 1e-3 * np.abs(right).max()), key
+    flat = ids_[real]
+    first = np.append(0, np.cumsum(real.sum(axis=1)))
+    assert np.allclose(P.score(m, v, flat, first), np.where(real, log.reshape(real.shape), 0).sum(axis=1), rtol=1e-4)
+
+
+def test_few_steps_go_class_by_class():
+    import sys
+
+    r = np.random.default_rng(5)
+    v = P.Vocabulary(np.arange(900, 0, -1), classes=90)
+    m = P.cut(P.start(90), v)
+    ids_ = r.permutation(np.repeat(np.arange(900), 3)).astype(np.int32)
+    z, lines = r.standard_normal((len(ids_), P.WIDTH)).astype(np.float32), [0]
+
+    def tracer(frame, event, arg):
+        if frame.f_code is not P.inside.__code__:
+            return None
+        lines[0] += event == "line"
+        return tracer
+
+    before = sys.gettrace()
+    sys.settrace(tracer)
+    try:
+        P.inside(m, v, z, ids_, np.ones(len(ids_), np.float32), {"i": np.zeros_like(m["i"])}, np.zeros_like(z))
+    finally:
+        sys.settrace(before)
+    assert lines[0] < 90 * 10
+
+
+def test_sums_by_blocks():
+    r = np.random.default_rng(6)
+    for n in (0, 1, P.SUMMED, 3 * P.SUMMED + 7):
+        x, y = r.standard_normal((n, 5)).astype(np.float32), r.standard_normal((n, 8)).astype(np.float32)
+        assert np.allclose(P._summed(x, y), x.astype(np.float64).T @ y, atol=1e-3)
+
+
 def test_probabilities_of_all_ids_sum_to_one():
     r = np.random.default_rng(4)
     v = P.Vocabulary(np.where(np.arange(90) < 70, r.integers(1, 30, 90), 0), 50, 6)
