@@ -411,16 +411,42 @@ def players_and_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.join(e, g.o_custkey == e.user_id, "full").select(F.coalesce("o_custkey", "user_id").alias("player"), "games", "events", F.round("best", 2).alias("best"))
 
 
+#: Ranges that an order of values is cut into; each is one task's work at most.
+RANGES = 128
+
+
+def _place(x: Column, cuts: list[float], first: int = 0) -> Column:
+    """The number of cuts that aren't above a value, by halving."""
+    if not cuts:
+        return F.lit(first)
+    m = len(cuts) // 2
+    return F.when(x < cuts[m], _place(x, cuts[:m], first)).otherwise(_place(x, cuts[m + 1 :], first + m + 1))
+
+
 @query("""
 WITH band AS (SELECT s_suppkey, s_nationkey, s_acctbal - 300 AS low, s_acctbal + 300 AS high FROM supplier)
 SELECT c_custkey, count(s_suppkey) AS rivals FROM customer LEFT JOIN band ON c_acctbal > low AND c_acctbal < high AND c_nationkey <> s_nationkey GROUP BY c_custkey
 """)
 def rivals_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A theta join by bands: each range falls into the buckets that it overlaps, so the join is an equi-join on buckets with the range as a filter."""
-    width = 600.0
-    bucket = lambda c: F.floor(c / width)
-    s = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", (F.col("s_acctbal") - 300).cast("double").alias("low"), (F.col("s_acctbal") + 300).cast("double").alias("high"))
-    s = s.withColumn("b", F.explode(F.sequence(bucket(F.col("low")), bucket(F.col("high")))))
-    c = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.col("c_acctbal").cast("double").alias("x")).withColumn("b", bucket(F.col("x")))
-    on = (c.b == s.b) & (c.x > s.low) & (c.x < s.high) & (c.c_nationkey != s.s_nationkey)
-    return c.join(s, on, "left").groupBy("c_custkey").agg(F.count("s_suppkey").alias("rivals"))
+    """A theta join that is only counted, so without pairs: who lies in (low, high) has passed low, and not yet high.
+
+    All values go in order, with +1 at a low and -1 at a high; the sum so far over all suppliers, less that over those of the
+    customer's own nation, is the count. The order is cut into ranges of like many rows, which start from the sums of the ranges before.
+    """
+    s = _read(spark, sf_dir, "supplier").where("s_suppkey is not null and s_nationkey is not null")
+    s = s.select(F.col("s_nationkey").alias("n"), (F.col("s_acctbal") - 300).cast("double").alias("low"), (F.col("s_acctbal") + 300).cast("double").alias("high")).where("low < high")
+    c = _read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n"), F.col("c_acctbal").cast("double").alias("v"))
+    # at one value: first who ends there, then customers, then who begins, as both ends are open
+    edges = s.select("n", F.expr("inline(array(struct(high as v, 0 as o, -1L as w), struct(low as v, 2 as o, 1L as w)))"))
+    values = c.select("v").unionAll(edges.select("v")).where("v is not null and not isnan(v)")
+    cuts = sorted(set(values.agg(F.percentile_approx("v", [k / RANGES for k in range(1, RANGES)])).first()[0] or []))
+    edges = edges.withColumn("r", _place(F.col("v"), cuts))
+    before = edges.groupBy("r", "n").agg(F.sum("w").alias("w")).where(F.col("r") < len(cuts)).select(F.explode(F.sequence(F.col("r") + 1, F.lit(len(cuts)))).alias("r"), "n", "w")
+    row = ["c_custkey", "n", "v", "o", "w", "r"]
+    none = F.lit(None)
+    rows = c.withColumns({"o": F.lit(1), "w": F.lit(0).cast("long"), "r": _place(F.col("v"), cuts)}).select(row)
+    rows = rows.unionAll(edges.withColumn("c_custkey", none.cast("long")).select(row)).unionAll(before.withColumns({"c_custkey": none.cast("long"), "v": none.cast("double"), "o": F.lit(0)}).select(row))
+    so_far = lambda *by: F.sum("w").over(Window.partitionBy(*by).orderBy("v", "o").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = rows.withColumns({"all": so_far("r"), "own": so_far("r", "n")}).where("o = 1")
+    rivals = F.when(F.col("v").isNotNull() & F.col("n").isNotNull(), F.col("all") - F.col("own")).otherwise(0)
+    return counted.groupBy("c_custkey").agg(F.sum(rivals).alias("rivals"))
