@@ -15,6 +15,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -52,6 +53,21 @@ def _all_errors(games: Games) -> np.ndarray:
 #: Bytes of decoded games that a worker keeps for the other functions of the same batch.
 KEPT_BYTES = 192 << 20
 _kept: OrderedDict[bytes, tuple[int, Games]] = OrderedDict()
+#: The task, and which uses of functions in its projection have had the batch that is kept.
+_task: int | None = None
+_had: set[object] = set()
+
+
+def _begin(use: object) -> None:
+    """Lets the games of the batch before go: a function that is called again, or a new task, has another one."""
+    global _task
+    context = TaskContext.get()
+    task = context.taskAttemptId() if context else None
+    if use in _had or task != _task:
+        _kept.clear()
+        _had.clear()
+        _task = task
+    _had.add(use)
 
 
 def _key(*columns: pa.Array) -> bytes:
@@ -383,7 +399,9 @@ _PATTERN_FUNCTIONS: dict[str, str] = {"matches_subfen": "boolean", "matches_fen"
 GAMES_AT_A_TIME = 2000
 
 
-def _run(name: str, tried: bool, run: Callable, *arguments: pa.Array) -> pa.Array:
+def _run(name: str, tried: bool, run: Callable, use: object, *arguments: pa.Array) -> pa.Array:
+    """The function's values of one batch; use: tells this use of the function in a plan from others."""
+    _begin(use)
     out = []
     for k in range(0, max(1, len(arguments[0])), GAMES_AT_A_TIME):
         array, error = run(*[a.slice(k, GAMES_AT_A_TIME) for a in arguments])
@@ -395,15 +413,16 @@ def _run(name: str, tried: bool, run: Callable, *arguments: pa.Array) -> pa.Arra
 
 def _udf(name: str, tried: bool):
     kind, extra, run = _BLOB_FUNCTIONS[name]
+    use = object()
     if extra:
 
         def two(blobs: pa.Array, argument: pa.Array, fens_: pa.Array) -> pa.Array:
-            return _run(name, tried, run, blobs, argument, fens_)
+            return _run(name, tried, run, use, blobs, argument, fens_)
 
         return F.arrow_udf(two, returnType=kind)
 
     def one(blobs: pa.Array, fens_: pa.Array) -> pa.Array:
-        return _run(name, tried, run, blobs, fens_)
+        return _run(name, tried, run, use, blobs, fens_)
 
     return F.arrow_udf(one, returnType=kind)
 
@@ -445,10 +464,10 @@ def call(name: str, movedata: Column | str, argument=None, initial_fen: Column |
             return F.lit(None).cast(kind)
         if not isinstance(argument, str):
             raise TypeError(f"{name} - the pattern must be a constant string")
-        run = _pattern_run(name, argument)
+        run, use = _pattern_run(name, argument), object()
 
         def match(blobs: pa.Array, fens_: pa.Array) -> pa.Array:
-            return _run(name, tried, run, blobs, fens_)
+            return _run(name, tried, run, use, blobs, fens_)
 
         return F.arrow_udf(match, returnType=kind)(blob, _fen(initial_fen))
     extra = _BLOB_FUNCTIONS[name][1]
@@ -523,6 +542,7 @@ def register(spark: SparkSession) -> None:
 
 
 def _sql_udf(name: str, tried: bool):
+    use = object()
     if name in _PATTERN_FUNCTIONS:
         kind = _PATTERN_FUNCTIONS[name]
 
@@ -534,7 +554,7 @@ def _sql_udf(name: str, tried: bool):
                 raise ValueError(f"{name} - the pattern must be constant")
             if not distinct or distinct[0] is None:
                 return pa.nulls(len(blobs), {"boolean": pa.bool_(), "int": pa.int32(), "array<int>": pa.list_(pa.int32())}[kind])
-            return _run(name, tried, _pattern_run(name, distinct[0]), blobs, fens_)
+            return _run(name, tried, _pattern_run(name, distinct[0]), use, blobs, fens_)
 
         return F.arrow_udf(match, returnType=kind)
     kind, extra, run = _BLOB_FUNCTIONS[name]
@@ -542,6 +562,6 @@ def _sql_udf(name: str, tried: bool):
     def apply(*arguments: pa.Array) -> pa.Array:
         blobs = arguments[0]
         fens_ = arguments[1 + extra] if len(arguments) > 1 + extra else pa.nulls(len(blobs), pa.string())
-        return _run(name, tried, run, blobs, arguments[1], fens_) if extra else _run(name, tried, run, blobs, fens_)
+        return _run(name, tried, run, use, blobs, arguments[1], fens_) if extra else _run(name, tried, run, use, blobs, fens_)
 
     return F.arrow_udf(apply, returnType=kind)

@@ -69,3 +69,14 @@ def test_searches_end_early_with_the_same_result(monkeypatch, name, text):
     got = run(blobs, none)[0]
     C._decoded(blobs, none)
     assert C._kept and run(blobs, none)[0] == got and got.null_count < len(got)
+
+
+def test_games_of_past_batches_are_let_go(spark, monkeypatch):
+    """Two functions of a projection over many batches: each batch is decoded once, and only one is kept."""
+    calls = counted(monkeypatch)
+    uses = [C._udf("to_uci", False).func, C._udf("to_uci", False).func, C._udf("moved_pieces", False).func]
+    for k in range(20):
+        blobs = games(30 + k)
+        none = pa.nulls(len(blobs), pa.string())
+        got = [f(blobs, none) for f in uses]
+        assert len(calls) == k + 1 and len(C._kept) == 1 and got[0] == got[1] and got[0].null_count == 1
